@@ -68,6 +68,27 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, U64)
 
 
+def stems(data: bytes, lengths: tuple[int, ...]):
+    """Hashes of the words' beginnings, piece by piece: (number of words, [(which words, hashes), ...]).
+
+    One entry for each of ``lengths`` (in bytes, for words that are longer) and at last the whole words.
+    """
+    for piece in _pieces(data):
+        codes = np.frombuffer(piece, np.uint8)
+        starts, ends = bounds(codes)
+        if len(starts):
+            up, down = _power_tables(len(codes) + 1)
+            prefix = np.zeros(len(codes) + 1, U64)
+            np.cumsum((codes.astype(U64) + U64(1)) * up[: len(codes)], out=prefix[1:])
+            found = []
+            for n in lengths:
+                which = np.flatnonzero(ends - starts > n)
+                at = starts[which]
+                found.append((which, mix((prefix[at + n] - prefix[at]) * down[at] + U64(n))))
+            whole = mix((prefix[ends] - prefix[starts]) * down[starts] ^ U64(0x5851F42D4C957F2D))
+            yield len(starts), [*found, (np.arange(len(starts)), whole)]
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of ``width`` words, in order; a shorter non-empty text is one window."""
     n = len(words)
