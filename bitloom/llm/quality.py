@@ -189,4 +189,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     fitted = _fit(voted(docs.select("text")).select("votes"))
     out = voted(packed).join(F.broadcast(fitted), "votes")
-    return out.where(~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM)).select("row.*")
+    # One condition on both sides of the join: pushed below it, the statistics would be made again per use.
+    return out.where(F.when(F.col("base_failed"), 0.0).otherwise(F.col("posterior")) >= KEEP_FROM).select("row.*")
