@@ -18,8 +18,9 @@ BANDS, ROWS = 50, 7
 HASHES = 352  # BANDS * ROWS, up to a multiple of 32 for packing
 #: Standard deviations of the b-bit estimate by which a candidate may fall short and still be confirmed.
 MARGIN = 4.5
-#: Members of a crowded bucket are compared in blocks of about so many.
-BLOCK = 1000
+#: Buckets of more members are crowded: they are compared in blocks of about BLOCK, texts at hand, so
+#: that a block gives links only and not all its candidate pairs.
+CROWDED, BLOCK = 32, 250
 
 
 def _fingerprint(width: int):
@@ -115,14 +116,74 @@ def _columns(entries: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return s.field("node").to_numpy(), s.field("root").to_numpy(), sig.reshape(len(s), -1)
 
 
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices over slices of the hashes."""
+    sizes = [len(x) for x in (*one, *two)]
+    codes = np.unique(np.concatenate((*one, *two)), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, row = codes[order], row[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for low in range(0, int(codes[-1]) + 1, 4096):
+        i, j = np.searchsorted(codes, (low, low + 4096))
+        cell = np.zeros((len(sizes), 4096), np.float32)
+        cell[row[i:j], codes[i:j] - low] = 1
+        out += cell[: len(one)] @ cell[len(one) :].T
+    return out
+
+
+def _crowded_block(least: int, width: int, percent: int):
+    """Links between outsiders and members of one block, one for each outsider and root of members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for out, all_ in zip(batch.column("outs"), batch.column("members")):
+                o, m = _columns(out), _columns(all_)
+                x = o[2][:, None, :] ^ m[2][None, :, :]
+                x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+                likely = (HASHES - np.bitwise_count(x).sum(axis=2, dtype=np.int32) >= least) & (o[1][:, None] != m[1][None, :])
+                if not likely.any():
+                    continue
+                rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+                sets = [[kernels.shingle_set(t.as_py().lower(), width) for t in e.values.field("text").take(pa.array(k))] for e, k in ((out, rows), (all_, columns))]
+                common = _common(*sets)
+                size = [np.array([len(x) for x in y]) for y in sets]
+                link = likely[np.ix_(rows, columns)] & (100 * common >= percent * (size[0][:, None] + size[1][None, :] - common))
+                for i, j in zip(*np.nonzero(link)):
+                    found.append((o[0][rows[i]], m[0][columns[j]], m[1][columns[j]]))
+            first = {(u, root): v for u, v, root in found}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([u for u, _ in first], pa.int64()), pa.array(list(first.values()), pa.int64())], names=["u", "v"]
+            )
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are links, by their full texts; only texts in some pair are joined."""
-    texts = texts.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    """The pairs (u, v) that are links, by their full texts."""
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(width, percent), "u long, v long")
 
 
+def _cells(left: DataFrame, *columns: str) -> DataFrame:
+    """(outs, members) for each block of outsiders and block of members of each bucket.
+
+    Every outsider meets every member of its bucket in one cell; a cell has about 2 * BLOCK rows at most.
+    """
+    entry = F.struct(*columns).alias("e")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    members = left.select("key", slot("g").alias("j"), spread("h").alias("i"), entry, F.lit(False).alias("out"))
+    outs = left.where("root <> main").select("key", spread("g").alias("j"), slot("h").alias("i"), entry, F.lit(True).alias("out"))
+    cells = members.unionByName(outs).groupBy("key", "i", "j").agg(
+        F.collect_list(F.when(F.col("out"), F.col("e"))).alias("outs"),
+        F.collect_list(F.when(~F.col("out"), F.col("e"))).alias("members"),
+    )
+    return cells.where("size(outs) > 0 and size(members) > 0").select("outs", "members")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -163,6 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     )
     stars = checkpoint(stars.select("u", "v").distinct())
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text"))
+    # Texts of documents that share a band with another are moved once.
+    texts = checkpoint(texts.join(members.select("node").distinct(), "node", "left_semi"))
     links = checkpoint(_confirmed(stars, texts, width, percent).distinct())
     roots = checkpoint(connected_components(links))
 
@@ -174,22 +237,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     )
     mixed = checkpoint(
         mixed.where("roots > 1").select(
-            "key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h")
+            "key", "main", "all", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h")
         )
     )
     left = labelled.join(mixed, "key").join(sigs, "node")
-    entry = F.struct("node", "root", "sig").alias("e")
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    members_in = left.select("key", slot("g").alias("j"), spread("h").alias("i"), entry, F.lit(False).alias("out"))
-    outs_in = left.where("root <> main").select("key", spread("g").alias("j"), slot("h").alias("i"), entry, F.lit(True).alias("out"))
-    cells = members_in.unionByName(outs_in).groupBy("key", "i", "j").agg(
-        F.collect_list(F.when(F.col("out"), F.col("e"))).alias("outs"),
-        F.collect_list(F.when(~F.col("out"), F.col("e"))).alias("members"),
-    )
-    cross = cells.select("outs", "members").mapInArrow(_cross_block(least), "u long, v long").distinct()
+    few = _cells(left.where(F.col("all") <= CROWDED), "node", "root", "sig")
+    cross = few.mapInArrow(_cross_block(least), "u long, v long").distinct()
     cross = checkpoint(cross.join(stars, ["u", "v"], "left_anti"))
     more = _confirmed(cross, texts, width, percent)
+    many = _cells(left.where(F.col("all") > CROWDED).join(texts, "node"), "node", "root", "sig", "text")
+    more = checkpoint(more.union(many.mapInArrow(_crowded_block(least, width, percent), "u long, v long")).distinct())
     for side in ("u", "v"):
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
         more = more.withColumn(f"r{side}", F.coalesce(f"r{side}", side))
