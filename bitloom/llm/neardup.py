@@ -273,9 +273,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows (equal in all columns) one stays; rows with a null doc_id all stay.
     """
     gone = near_duplicates(docs.select("doc_id", "text"), width=5).where("not kept").select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id is not null").dropDuplicates()
-    named = named.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return named.union(docs.where("doc_id is null"))
+    # Repeated rows are dropped where the join has put them: one shuffle of the texts does for both.
+    named = docs.where("doc_id is not null").join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return named.dropDuplicates().union(docs.where("doc_id is null"))
 
 
 #: The same rows from DuckDB: all pairs of different sets that share a shingle, then reachability.
