@@ -56,7 +56,12 @@ def _pieces(data: bytes):
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of every word of a text, in order: a polynomial over its bytes from prefix sums."""
-    found = []
+    return words_at(data)[1]
+
+
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, hashes) of every word of a text, in order."""
+    found, places, at = [], [], 0
     for piece in _pieces(data):
         codes = np.frombuffer(piece, np.uint8)
         starts, ends = bounds(codes)
@@ -65,7 +70,11 @@ def word_hashes(data: bytes) -> np.ndarray:
             prefix = np.zeros(len(codes) + 1, U64)
             np.cumsum((codes.astype(U64) + U64(1)) * up[: len(codes)], out=prefix[1:])
             found.append(mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64)))
-    return np.concatenate(found) if found else np.empty(0, U64)
+            places.append(starts + at)
+        at += len(piece)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, U64)
+    return np.concatenate(places), np.concatenate(found)
 
 
 def stems(data: bytes, lengths: tuple[int, ...]):
