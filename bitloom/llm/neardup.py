@@ -267,15 +267,38 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+#: Words of the map of doc_ids that need a look: a fixed size (about 4 MB as a table), whatever the input.
+MAP_WORDS = 1 << 18
+
+
+def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with _look: true where doc_id is in ``ids``, and for others whose bit is also set.
+
+    The map is a table of at most MAP_WORDS rows of 64 bits, so it may be broadcast at any size of the
+    input. As it fills up, more rows are looked at; none is missed.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_WORDS * 64))
+    at = ids.select(slot.alias("_s"))
+    words = at.groupBy(F.expr("_s div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_s % 64 as int)))").alias("_bits"))
+    marked = docs.withColumn("_s", slot).withColumn("_word", F.expr("_s div 64")).join(F.broadcast(words), "_word", "left")
+    look = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_s % 64 as int)) & 1L") == 1, F.lit(False))
+    return marked.select(*docs.columns, look.alias("_look"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group (five-word shingles) stays.
 
-    Of repeated rows (equal in all columns) one stays; rows with a null doc_id all stay.
+    Of repeated rows (equal in all columns) one stays; rows with a null doc_id all stay. Only rows whose
+    doc_id goes or occurs twice, as a fixed-size map tells, are shuffled with their texts.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), width=5).where("not kept").select(F.col("doc_id").alias("_gone"))
+    found = checkpoint(near_duplicates(docs.select("doc_id", "text"), width=5).where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("gone")
+    ).where("gone or n > 1"))
+    marked = _flagged(docs, found)
+    gone = found.where("gone").select(F.col("doc_id").alias("_gone"))
     # Repeated rows are dropped where the join has put them: one shuffle of the texts does for both.
-    named = docs.where("doc_id is not null").join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return named.dropDuplicates().union(docs.where("doc_id is null"))
+    look = marked.where("_look and doc_id is not null").drop("_look").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return look.dropDuplicates().union(marked.where("not _look or doc_id is null").drop("_look"))
 
 
 #: The same rows from DuckDB: all pairs of different sets that share a shingle, then reachability.
