@@ -101,3 +101,15 @@ def prefix_delta(now: Column, before: Column, most: int = 129, least: int = 5) -
     step = lambda a, i: F.when((a == i - 1) & (i <= F.length(now)) & (i <= F.length(before)) & (F.substr(now, i, F.lit(1)) == F.substr(before, i, F.lit(1))), i).otherwise(a)
     same = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0), step)
     return F.when(before.isNull() | (same < least), 0).otherwise(same).cast("long")
+
+
+def encoding_methods(counts: DataFrame) -> DataFrame:
+    """(method, cnt): uses of words that the dictionary holds (2), and of those that are spelled out (0)."""
+    size = F.octet_length("word")
+    held = ((F.col("cnt") > 3) & (size > 3)) | (F.col("cnt") > 10)
+    return counts.groupBy(F.when(held, 2).otherwise(0).cast("long").alias("method")).agg(F.sum("cnt").alias("cnt"))
+
+
+def clamped_lengths(df: DataFrame, text: str, most: int = 63) -> DataFrame:
+    """(bytes, cnt): lengths in bytes, ``most`` for all longer ones."""
+    return df.groupBy(F.least(F.octet_length(text), F.lit(most)).cast("long").alias("bytes")).agg(F.count("*").alias("cnt"))

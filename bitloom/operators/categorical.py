@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A probability is a share of so many.
 ONE = 65536
@@ -86,3 +87,22 @@ def greedy_order(costs: list[tuple[str, str, float]], columns: list[str]) -> lis
         out.append(best)
         left.remove(best[0])
     return out
+
+
+def coded_bits(df: DataFrame, weighted: DataFrame, code: str, *predictors: str) -> DataFrame:
+    """(n, bits): rows meet their predictors' weights; each costs 16 - log2(w), rare ones the rare branch too."""
+    model = weighted.select(*(F.col(c).alias(f"_{c}") for c in (code, *predictors)), "w", "rare_w", "n_rare")
+    rows = df.groupBy(code, *predictors).agg(F.count("*").alias("n"))  # equal rows cost the same
+    joined = rows.join(model, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (code, *predictors)])
+    bits = F.when(F.col("w") > 0, 16 - F.log2("w")).otherwise(16 - F.log2("rare_w") + F.log2("n_rare"))
+    return joined.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * bits), 4).alias("bits"))
+
+
+def cumulative(hist: DataFrame, code: str, base: int = ONE) -> DataFrame:
+    """(code, cnt, low, high): each code's share of [0, base) in code order.
+
+    One window over a histogram, which has as many rows as codes and not as the data.
+    """
+    over = Window.partitionBy(F.lit(0)).orderBy(code).rowsBetween(Window.unboundedPreceding, 0)
+    run = hist.withColumn("_run", F.sum("cnt").over(over)).withColumn("_all", F.sum("cnt").over(Window.partitionBy(F.lit(0))))
+    return run.select(code, "cnt", F.expr(f"(_run - cnt) * {base} div _all").alias("low"), F.expr(f"_run * {base} div _all").alias("high"))

@@ -88,3 +88,17 @@ def quantise(value: Column, mid: Column, bin_size: float, decimals: int, nearest
     """The value that comes back from its bin: the nearest bin's, or the lower edge's."""
     step = (value - mid) / bin_size
     return F.round(mid + F.floor(step + (0.5 if nearest else 0.0)) * bin_size, decimals)
+
+
+def median_sketch(df: DataFrame, value: str, order: list[str], bin_size: float, sigmas: int, branches: int) -> DataFrame:
+    """(n, median, spread, per_branch): the other layout, around the rank n div 2 of the priming values.
+
+    spread is their mean distance from it; a branch holds 2 * sigmas * spread / bin bins over the inner
+    branches, 1 at least.
+    """
+    lists = df.orderBy(*order).limit(PRIME).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v")).where("size(v) > 0")
+    mid = lists.select("v", F.size("v").cast("long").alias("n"), F.get("v", F.expr("cast(size(v) div 2 as int)")).alias("median"))
+    spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("median"))) / F.col("n")
+    out = mid.select("n", "median", spread.alias("spread"))
+    per = F.greatest(F.lit(1), F.floor(F.floor(2 * sigmas * F.col("spread") / bin_size) / (branches - 2)))
+    return out.select("n", "median", F.round("spread", 4).alias("spread"), per.cast("long").alias("per_branch"))

@@ -60,3 +60,13 @@ def autoregression(df: DataFrame, key: str, series: str, order: int = 5) -> Data
     lagged = lambda i: F.aggregate(F.slice(series, i - order + 1, order), F.lit(0.0), lambda a, x: a + x) / order
     out = F.transform(series, lambda x, i: F.when(i < order, x.cast("double")).otherwise(x - lagged(i)))
     return df.select(key, F.posexplode(out).alias("t", "residual"))
+
+
+def group_transitions(df: DataFrame, state: str, key: str, order: str) -> DataFrame:
+    """(prev, cur, cnt): states after the one before in their key's sequence; empty at its start.
+
+    Ties in ``order`` fall in the states' order. Spark sorts a key's rows on disk where it must.
+    """
+    over = Window.partitionBy(key).orderBy(order, state)
+    pairs = df.select(F.coalesce(F.lag(state).over(over), F.lit("")).alias("prev"), F.col(state).alias("cur"))
+    return pairs.groupBy("prev", "cur").agg(F.count("*").alias("cnt"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import tokens
-from bitloom.operators import blocks, categorical, dictionary, numeric, sequences
+from bitloom.operators import blocks, categorical, dictionary, numeric, sampling, sequences
+from bitloom.sources import documents
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,3 +339,72 @@ for _table, _order in _KEYS.items():
 def _(spark, d):
     """The bounded prefix that structure learning reads: the limit is the feature."""
     return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(20000)
+
+
+# Samples, costs of rows, and the other layouts.
+@query("sample_replacement", """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+d AS (SELECT draw, CAST('0x' || left(md5('0:' || draw), 8) AS BIGINT) % (SELECT count(*) FROM orders) AS i FROM (SELECT unnest(range(5000)) AS draw))
+SELECT draw, o_orderkey, o_totalprice FROM d JOIN r USING (i)""")
+def _(spark, d):
+    return sampling.with_replacement(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@query("sample_share", "SELECT event_id, props FROM events WHERE CAST('0x' || left(md5('0:' || event_id), 8) AS BIGINT) < CAST(floor(0.4 * 4294967296) AS BIGINT)")
+def _(spark, d):
+    return sampling.share(_t(spark, d, "events").select("event_id", "props"), "event_id", 0.4)
+
+
+@query("cond_coded_bits", f"SELECT CAST(sum(cnt) AS BIGINT) AS n, round(sum(cnt * (16 - log2(w))), 4) AS bits FROM ({_weights_sql('lineitem', 'l_linestatus', ['l_returnflag'])})")
+def _(spark, d):
+    lines = _t(spark, d, "lineitem")
+    w = categorical.weights(categorical.histogram(lines, "l_linestatus", "l_returnflag"), "l_linestatus", "l_returnflag")
+    return categorical.coded_bits(lines, w, "l_linestatus", "l_returnflag")
+
+
+@query("cat_cumulative", """SELECT p_brand, cnt, CAST((run - cnt) * 65536 // total AS BIGINT) AS low, CAST(run * 65536 // total AS BIGINT) AS high
+FROM (SELECT p_brand, cnt, sum(cnt) OVER (ORDER BY p_brand) AS run, sum(cnt) OVER () AS total FROM (SELECT p_brand, count(*) AS cnt FROM part GROUP BY 1))""")
+def _(spark, d):
+    return categorical.cumulative(categorical.histogram(_t(spark, d, "part"), "p_brand"), "p_brand")
+
+
+@query("num_median_sketch", """WITH p AS (SELECT o_totalprice AS v FROM orders ORDER BY o_orderkey LIMIT 5000),
+k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM p),
+m AS (SELECT v AS median, n FROM k WHERE i = n // 2), s AS (SELECT avg(abs(v - median)) AS spread FROM p, m)
+SELECT n, median, round(spread, 4) AS spread, CAST(greatest(1, floor(floor(12 * spread / 0.005) / 254)) AS BIGINT) AS per_branch FROM m, s""")
+def _(spark, d):
+    return numeric.median_sketch(_t(spark, d, "orders"), "o_totalprice", ["o_orderkey"], 0.005, sigmas=6, branches=256)
+
+
+@query("encoding_methods", f"""WITH {_WORDS}, c AS (SELECT word, count(*) AS cnt FROM w GROUP BY 1)
+SELECT CASE WHEN (cnt > 3 AND strlen(word) > 3) OR cnt > 10 THEN 2 ELSE 0 END AS method, CAST(sum(cnt) AS BIGINT) AS cnt FROM c GROUP BY 1""")
+def _(spark, d):
+    return tokens.encoding_methods(tokens.word_counts(_t(spark, d, "documents"), "text"))
+
+
+@query("clamped_lengths", "SELECT least(strlen(url), 63) AS bytes, count(*) AS cnt FROM pages GROUP BY 1")
+def _(spark, d):
+    return tokens.clamped_lengths(_t(spark, d, "pages"), "url")
+
+
+@query("ts_detect", "SELECT count(*) AS n, count(*) FILTER (len(embedding) > 0) AS series, min(len(embedding)) AS shortest, max(len(embedding)) AS longest FROM embeddings")
+def _(spark, d):
+    size = F.size("embedding").cast("long")
+    return _t(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count(F.when(size > 0, 1)).alias("series"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+
+
+@query("json_int_leaf", "SELECT count(*) AS n, min(k) AS least, max(k) AS most, CAST(sum(k) AS BIGINT) AS total FROM (SELECT CAST(props ->> '$.k' AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
+def _(spark, d):
+    leaf = _t(spark, d, "events").select(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).where("k is not null")
+    return leaf.agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"), F.sum("k").alias("total"))
+
+
+@query("json_paths", """SELECT '' AS path, 'object' AS kind, count(*) AS cnt FROM events WHERE props IS NOT NULL GROUP BY ALL
+UNION ALL SELECT '.' || k, CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' ELSE lower(json_type(props, '$.' || k)) END, count(*)
+FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL""")
+def _(spark, d):
+    return documents.paths(_t(spark, d, "events").select(F.try_parse_json("props").alias("doc")))
+
+
+@query("role_transitions", """SELECT prev, role AS cur, count(*) AS cnt FROM (SELECT coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev, role FROM conversations) GROUP BY ALL""")
+def _(spark, d):
+    return sequences.group_transitions(_t(spark, d, "conversations"), "role", "conv_id", "turn")
