@@ -203,3 +203,22 @@ def test_pipeline(spark):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+
+
+def test_op9_texts_together_give_what_each_gives_alone():
+    words = [f"w{i * i % 97}" for i in range(400)]
+    texts = [" ".join(words[a:b]).encode() for a, b in [(0, 400), (0, 19), (3, 23), (5, 36), (0, 0), (50, 110), (0, 31)]]
+    number, at, node, _ = substrings.paragraphs(texts)
+    for k, text in enumerate(texts):
+        _, alone, nodes, _ = substrings.paragraphs([text])
+        assert at[number == k].tolist() == alone.tolist() and node[number == k].tolist() == nodes.tolist()
+    whole = {tuple(x) for x in zip(at[number == 0].tolist(), node[number == 0].tolist())}
+    assert {(a + 50, n) for a, n in zip(at[number == 5].tolist(), node[number == 5].tolist())} & whole
+
+
+def test_near_dedup_stage_drops_repeats_and_keeps_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, "other"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in neardup.stage(spark, docs, "").collect())
+    assert kept == sorted([(0, text), (0, text), (1, text), (3, "other"), (4, "")])
