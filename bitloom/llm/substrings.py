@@ -1,4 +1,4 @@
-"""Substring dedup: MinHash banding of content-anchored paragraphs, exact check, removals by component."""
+"""Substring dedup: MinHash banding of lines and content-anchored chunks, exact check, removals by component."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ LENGTH, WIDTH = 20, 5
 #: A paragraph starts where a three-word hash is the least of WINDOW neighbours. Every passage of
 #: LENGTH + WINDOW words or more that occurs twice thus holds the same whole paragraph at each place.
 WINDOW = 29
-#: 5 bands of 4 rows: at similarity 0.8 a pair collides with probability 0.93, at 0.9 with 0.99, a passage
-#: with several paragraphs almost surely; equal paragraphs always collide. Fewer rows would make candidates
-#: of all paragraphs that hold one frequent short line.
-BANDS, ROWS = 5, 4
+#: 50 bands of 7 rows, as op7 has: a pair of units of similarity exactly 0.8 is missed once in about 100,000.
+BANDS, ROWS = 50, 7
 PERCENT = 80
+#: Chunks that share their first or last 19 words are linked if these hold so many different shingles.
+SURE = 8
 
 
 #: Texts are put together for the kernel up to about so many bytes; a longer one goes alone, whole.
@@ -95,30 +95,86 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, now
 
 
-def _bands(rows: np.ndarray) -> np.ndarray:
-    """Band keys (one row of BANDS each) of paragraphs."""
-    x = np.ascontiguousarray((rows >> np.uint64(32)).astype(np.uint32).T)
-    keys = np.empty((len(rows), BANDS), np.int64)
-    for band in range(BANDS):
-        key = np.full(len(rows), band + 1, np.uint64)
-        for i in range(band * ROWS, (band + 1) * ROWS):
-            key = kernels.mix(key ^ (x * _HASH.a[i] + _HASH.b[i]).min(axis=0).astype(np.uint64))
-        keys[:, band] = key.view(np.int64)
-    return keys
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of texts, first words, ends, nodes, bounds, shingles): lines, whatever their length, and odd chunks.
 
+    A line under WIDTH words is one shingle. Chunks are odd if they hold a shingle twice, as links()
+    judges the others. Shingles are distinct and ascending in each unit, from bounds[i] to bounds[i + 1].
+    """
+    data = b"\n".join(texts).lower()
+    starts, words = kernels.words_at(data)
+    if not len(words):
+        return (*(np.empty(0, np.int64) for _ in range(4)), np.zeros(1, np.int64), np.empty(0, np.uint64))
+    begin = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
+    low = np.flatnonzero(np.diff(line, prepend=-1))
+    high = np.append(low[1:], len(words))
+    which, value = [], []
+    for n in range(1, WIDTH):
+        own = np.flatnonzero(high - low == n)
+        which.append(own)
+        value.append(kernels.shingles(words, n)[low[own]] if len(own) else np.empty(0, np.uint64))
+    five = kernels.shingles(words, WIDTH)
+    number = np.repeat(np.arange(len(low)), high - low)
+    inside = np.flatnonzero(np.arange(len(words)) + WIDTH <= high[number])
+    which.append(number[inside])
+    value.append(five[inside])
+    text = np.searchsorted(begin, low, side="right") - 1
+    chunk_text, chunk_at, content, rows = paragraphs(texts)
+    odd = np.flatnonzero((np.diff(np.sort(rows, axis=1), axis=1) == 0).any(axis=1))
+    which.append(np.repeat(len(low) + np.arange(len(odd)), rows.shape[1]))
+    value.append(rows[odd].ravel())
+    which, value = np.concatenate(which), np.concatenate(value)
+    order = np.lexsort((value, which))
+    which, value = which[order], value[order]
+    once = np.append(True, (which[1:] != which[:-1]) | (value[1:] != value[:-1]))
+    which, value = which[once], value[once]
+    bounds = np.searchsorted(which, np.arange(len(low) + len(odd) + 1))
+    total = np.add.reduceat(kernels.mix(value ^ np.uint64(0x2545F4914F6CDD1D)), bounds[:-1])
+    node = kernels.mix(total ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
+    node[len(low) :] = content[odd]
+    first = np.concatenate((low - begin[text], chunk_at[odd]))
+    end = np.concatenate((high - begin[text], chunk_at[odd] + LENGTH))
+    return np.concatenate((text, chunk_text[odd])), first, end, node, bounds, value
+
+
+def _prefixes(bounds: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, shingles): the least shingles of each, so many that units of similarity 0.8 share one at least."""
+    size = np.diff(bounds)
+    many = size + 1 - (PERCENT * size + 99) // 100
+    number = np.repeat(np.arange(len(size)), many)
+    return number, value[np.arange(len(number)) + np.repeat(bounds[:-1] - np.cumsum(many) + many, many)].view(np.int64)
+
+
+def _chunk_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, keys) of the first and the last LENGTH - 1 words of chunks.
+
+    Chunks without a repeated shingle are 0.8 similar if and only if they share one of them: 15 of 16
+    shingles must be common. Shared words with SURE shingles or more make any two chunks that similar.
+    """
+    out = []
+    for at in (0, 1):
+        key = np.full(len(rows), LENGTH - 1, np.uint64)
+        for i in (0, 5, 10, 14):
+            key = kernels.mix(key ^ rows[:, at + i])
+        held = np.sort(rows[:, at : at + 15], axis=1)
+        sure = np.flatnonzero((np.diff(held, axis=1) != 0).sum(axis=1) + 1 >= SURE)
+        out.append((sure, key[sure].view(np.int64)))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
-_HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 
+_HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 
-#: Bits of the maps of wanted values: a fixed size, whatever the input. Such a map spares the shuffle rows
-#: that no join can match; as it fills up it lets more pass, and the join after it decides in any case.
-BITS = 1 << 24
+#: Bits of the maps of wanted values, and probes of a value: a fixed size, whatever the input. Such a map
+#: spares the shuffle rows that cannot match; as it fills up it lets more pass, and what follows decides.
+BITS, PROBES = 1 << 26, 3
 
 
 def _bitmap(values: DataFrame, name: str):
-    """A broadcast map of the low bits of a column of hashes; BITS / 64 words come to the driver."""
-    at = values.select(F.col(name).bitwiseAND(BITS - 1).alias("at"))
-    words = at.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
+    """A broadcast map of a column of hashes; at most BITS / 64 words come to the driver."""
+    probes = [F.shiftrightunsigned(name, 19 * i).bitwiseAND(BITS - 1) for i in range(PROBES)]
+    at = values.select(F.explode(F.array(*probes)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return values.sparkSession.sparkContext.broadcast(out)
@@ -126,53 +182,87 @@ def _bitmap(values: DataFrame, name: str):
 
 def _in(bitmap, values: np.ndarray) -> np.ndarray:
     """True where a value may be wanted; without a map everywhere."""
-    if bitmap is None:
-        return np.ones(len(values), bool)
-    at = values & (BITS - 1)
-    return (bitmap.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    on = np.ones(len(values), bool)
+    for i in range(PROBES if bitmap is not None else 0):
+        at = (values.view(np.uint64) >> np.uint64(19 * i)) & np.uint64(BITS - 1)
+        on &= (bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return on
 
 
-def _keys(bitmap=None):
-    """(key, node) for every band of every paragraph, if the key may be wanted."""
-    return lambda batches: _each_key(batches, bitmap)
+def _wanted(bitmap, bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Units that may be like another: those with a least shingle that may occur twice."""
+    number, least = _prefixes(bounds, value)
+    return np.unique(number[_in(bitmap, least)])
 
 
-def _each_key(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts in _groups(batch.column(0)):
-            _, _, node, rows = paragraphs(texts)
-            key = _bands(rows).ravel()
-            on = _in(bitmap, key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(np.repeat(node, BANDS)[on])], names=["key", "node"])
+def _grouped(run):
+    """A function of mapInArrow from one of (batch, number of the first text, texts) to columns by name."""
 
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in _groups(batch.column("text")):
+                found = run(batch, begin, texts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.values()], names=list(found))
 
-def _places(bitmap):
-    """(doc_id, first, node) of every paragraph whose node may be wanted."""
-    return lambda batches: _each_place(batches, bitmap)
+    return over
 
 
-def _each_place(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin, texts in _groups(batch.column(1)):
-            number, at, node, _ = paragraphs(texts)
-            on = _in(bitmap, node)
-            ids = batch.column(0).take(pa.array(begin + number[on]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at[on]), pa.array(node[on])], names=["doc_id", "first", "node"])
+def _chunks(bitmap=None):
+    """(key, node) of the chunks, if the key may be wanted."""
+
+    def run(batch, begin, texts):
+        _, _, node, rows = paragraphs(texts)
+        number, key = _chunk_keys(rows)
+        on = _in(bitmap, key)
+        return {"key": key[on], "node": node[number[on]]}
+
+    return _grouped(run)
+
+
+def _least(batch, begin, texts):
+    """(key) the least shingles of the units of some texts; equal units each give theirs."""
+    _, _, _, _, bounds, value = units(texts)
+    return {"key": _prefixes(bounds, value)[1]}
+
+
+def _bands(bitmap):
+    """(key, node) for every band of the distinct units that may be like another."""
+
+    def run(batch, begin, texts):
+        _, _, _, node, bounds, value = units(texts)
+        on = _wanted(bitmap, bounds, value)
+        on = on[np.unique(node[on], return_index=True)[1]]
+        keys = [kernels.band_keys(_HASH.minima(value[bounds[i] : bounds[i + 1]]), BANDS, ROWS) for i in on]
+        return {"key": np.concatenate([np.empty(0, np.int64), *keys]), "node": np.repeat(node[on], BANDS)}
+
+    return _grouped(run)
 
 
 def _sets(bitmap):
-    """(node, shingles) of the distinct paragraphs of a batch whose node may be wanted."""
-    return lambda batches: _each_set(batches, bitmap)
+    """(node, shingles) of the distinct units whose node may be wanted."""
 
+    def run(batch, begin, texts):
+        _, _, _, node, bounds, value = units(texts)
+        on = np.flatnonzero(_in(bitmap, node))
+        on = on[np.unique(node[on], return_index=True)[1]]
+        return {"node": node[on], "shingles": pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in on], pa.binary())}
 
-def _each_set(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts in _groups(batch.column(0)):
-            _, _, node, rows = paragraphs(texts)
-            on = np.flatnonzero(_in(bitmap, node))
-            node, once = np.unique(node[on], return_index=True)
-            sets = [r.tobytes() for r in rows[on[once]]]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    return _grouped(run)
+
+
+def _places(chunk_map, unit_map):
+    """(doc_id, first, end, node) of the chunks and units that may be like another."""
+
+    def run(batch, begin, texts):
+        number, at, node, rows = paragraphs(texts)
+        chunk, key = _chunk_keys(rows)
+        on = np.unique(chunk[_in(chunk_map, key)])
+        text, first, end, name, bounds, value = units(texts)
+        too = _wanted(unit_map, bounds, value)
+        ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
+        return {"doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])), "node": np.concatenate((node[on], name[too]))}
+
+    return _grouped(run)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,47 +275,64 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _centers(members: DataFrame) -> DataFrame:
+    """(key, center): a member of each bucket of two or more, drawn by the key."""
+    drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
+    ends = members.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high")
+    return checkpoint(ends.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center")))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(u, v): the centre of each bucket with the others."""
+    pairs = members.select("key", "node").join(_centers(members), "key").where("node <> center")
+    return checkpoint(pairs.select(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v")).distinct())
+
+
+def _unit_links(texts: DataFrame, unit_map) -> DataFrame:
+    """(u, v): units that share a band and are similar, as many as it takes to join their components."""
+    members = texts.mapInArrow(_bands(unit_map), "key long, node long").distinct()
+    over = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    members = checkpoint(members.join(over, "key"))
+    pairs = _stars(members)
+    wanted = checkpoint(members.select("node").distinct())
+    sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").join(wanted, "node", "left_semi")
+    sets = checkpoint(sets.groupBy("node").agg(F.min("shingles").alias("s")))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
+    return links
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, component_id, kept): passages that repeat across documents.
 
-    Words are runs of non-spaces, A-Z lower-cased; end is exclusive. Paragraphs (LENGTH words from a
-    content anchor) that share a MinHash band are candidates: in each bucket one member is compared with
-    the others and confirmed if the Jaccard similarity of their five-word shingles is 0.8 or more. Equal
-    and confirmed paragraphs form components; those with paragraphs in two documents or more are
-    reported, touching ones of a document and component merged. component_id is the component's least
-    doc_id; that document keeps the passage, the others may drop it. Null texts, texts under LENGTH
-    words and repeats inside one document give no rows, nor do rows with a null doc_id; rows of one
-    doc_id count as one document.
+    Words are runs of non-spaces, A-Z lower-cased; end is exclusive. Lines, whatever their length, are
+    units: those that share a MinHash band are candidates, confirmed if the Jaccard similarity of their
+    five-word shingles is 0.8 or more. In each bucket one member is compared with the others. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
+    linked by their first or last 19 words, and those that hold a shingle twice as lines are. Components
+    with units in two documents or more are reported, touching ones of a document and component merged.
+    component_id is the component's least doc_id; that document keeps the passage, the others may drop
+    it. Null and empty texts and repeats inside one document give no rows, nor do rows with a null
+    doc_id; rows of one doc_id count as one document.
     """
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
-    schema = "key long, node long"
-    shared = checkpoint(texts.mapInArrow(_keys(), schema).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = texts.mapInArrow(_keys(_bitmap(shared, "key")), schema).join(shared, "key")
-    members = checkpoint(members.groupBy("key", "node").agg(F.count("*").alias("n")))
-    drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
-    centers = members.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high")
-    centers = checkpoint(centers.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center")))
-    pairs = members.select("key", "node").join(centers, "key").where("node <> center")
-    pairs = checkpoint(pairs.select(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v")).distinct())
-    wanted = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("s"))
-    sets = checkpoint(sets)
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-    links = both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long")
-    roots = connected_components(links)
-    nodes = members.groupBy("node").agg(F.max("n").alias("n")).join(roots, "node", "left")
-    nodes = checkpoint(nodes.select("node", F.coalesce("root", "node").alias("root")))
-
-    places = named.mapInArrow(_places(_bitmap(nodes, "node")), "doc_id long, first long, node long").join(nodes, "node").select("doc_id", "first", "root").distinct()
-    places = checkpoint(places)
+    twice = lambda keys: checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    shared = twice(texts.mapInArrow(_chunks(), "key long, node long").select("key"))
+    chunk_map = _bitmap(shared, "key")
+    members = texts.mapInArrow(_chunks(chunk_map), "key long, node long").distinct()
+    links = _stars(members)
+    unit_map = _bitmap(twice(texts.mapInArrow(_grouped(_least), "key long")), "key")
+    roots = checkpoint(connected_components(links.union(_unit_links(texts, unit_map))))
+
+    places = named.mapInArrow(_places(chunk_map, unit_map), "doc_id long, first long, end long, node long").join(roots, "node", "left")
+    places = checkpoint(places.select("doc_id", "first", "end", F.coalesce("root", "node").alias("root")).distinct())
     span = places.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     span = checkpoint(span.where("component_id <> last").select("root", "component_id"))
-    found = places.join(span, "root").select("doc_id", "component_id", "first").distinct()
-    over = Window.partitionBy("doc_id", "component_id").orderBy("first")
-    new = F.coalesce(F.col("first") > F.lag("first").over(over) + LENGTH, F.lit(True))
-    grouped = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(over))
-    runs = grouped.groupBy("doc_id", "component_id", "run").agg(F.min("first").alias("start_word"), (F.max("first") + LENGTH).alias("end_word"))
+    found = places.join(span, "root").select("doc_id", "component_id", "first", "end").distinct()
+    over = Window.partitionBy("doc_id", "component_id").orderBy("first", "end")
+    new = F.coalesce(F.col("first") > F.max("end").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    grouped = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = grouped.groupBy("doc_id", "component_id", "run").agg(F.min("first").alias("start_word"), F.max("end").alias("end_word"))
     return runs.select("doc_id", "start_word", "end_word", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

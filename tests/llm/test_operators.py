@@ -222,3 +222,21 @@ def test_near_dedup_stage_drops_repeats_and_keeps_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or 0, r.text or "") for r in neardup.stage(spark, docs, "").collect())
     assert kept == sorted([(0, text), (0, text), (1, text), (3, "other"), (4, "")])
+
+
+def test_op9_links_lines_of_any_length_that_are_similar_as_a_whole(spark):
+    """A 60-word line with its middle word changed (0.836), an equal 7-word line, and a line at 0.5."""
+    rows, near = [], {}
+    for k in range(60):
+        words = [f"l{k}-{i}" for i in range(60)]
+        rows.append((2 * k, f"own{k} a b\n{' '.join(words)}", "a"))
+        words[30] = "changed"
+        rows.append((2 * k + 1, f"{' '.join(words)}\nother{k} c", "a"))
+        near |= {2 * k: (3, 63), 2 * k + 1: (0, 60)}
+    short = "one short line of just seven words"
+    rows += [(200, f"{short}\nx200", "a"), (201, f"x201 y\n{short.upper()}", "a")]
+    half = [f"h{i}" for i in range(40)]
+    rows += [(300, " ".join(half[:18] + ["p"] + half[19:]), "a"), (301, " ".join(half[:9] + ["q"] + half[10:18] + ["r", "s"] + half[20:29] + ["t"] + half[30:]), "a")]
+    got = {(r.doc_id, r.start_word, r.end_word, r.component_id) for r in substrings.repeated_passages(table(spark, rows)).collect()}
+    assert got >= {(i, *near[i], i - i % 2) for i in near} | {(200, 0, 7, 200), (201, 2, 9, 200)}
+    assert not [x for x in got if x[0] >= 300]
