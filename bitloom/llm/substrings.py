@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from bitloom.llm import kernels
 from bitloom.llm.common import checkpoint, text_bytes
 from bitloom.llm.components import connected_components
+from bitloom.llm.neardup import _cells, _common
 
 #: Words of a paragraph, and of its shingles.
 LENGTH, WIDTH = 20, 5
@@ -22,6 +23,8 @@ WINDOW = 29
 #: 50 bands of 7 rows, as op7 has: a pair of units of similarity exactly 0.8 is missed once in about 100,000.
 BANDS, ROWS = 50, 7
 PERCENT = 80
+#: Rows of a cell in which members of a bucket are compared.
+BLOCK = 250
 #: Chunks that share their first or last 19 words are linked if these hold so many different shingles.
 SURE = 8
 
@@ -275,6 +278,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of outsiders and members of other components in one cell, one for each outsider and component."""
+    for batch in batches:
+        found = {}
+        for out, all_ in zip(batch.column("outs"), batch.column("members")):
+            o, m = out.values, all_.values
+            sets = [[np.frombuffer(x.as_py(), np.uint64) for x in e.field("s")] for e in (o, m)]
+            size = [np.array([len(x) for x in y]) for y in sets]
+            common = _common(*sets)
+            other = o.field("root").to_numpy()[:, None] != m.field("root").to_numpy()[None, :]
+            link = other & (100 * common >= PERCENT * (size[0][:, None] + size[1][None, :] - common))
+            us, vs, roots = o.field("node").to_numpy(), m.field("node").to_numpy(), m.field("root").to_numpy()
+            for i, j in zip(*np.nonzero(link)):
+                found[us[i], roots[j]] = vs[j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([u for u, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["u", "v"]
+        )
+
+
 def _centers(members: DataFrame) -> DataFrame:
     """(key, center): a member of each bucket of two or more, drawn by the key."""
     drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
@@ -299,7 +321,17 @@ def _unit_links(texts: DataFrame, unit_map) -> DataFrame:
     sets = checkpoint(sets.groupBy("node").agg(F.min("shingles").alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
-    return links
+    roots = checkpoint(connected_components(links))
+
+    # Buckets that still hold several components: everyone outside the largest against everyone.
+    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")
+    )
+    mixed = mixed.where("roots > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h"))
+    left = labelled.join(checkpoint(mixed), "key").join(sets, "node")
+    return links.union(checkpoint(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long").distinct()))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -307,7 +339,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Words are runs of non-spaces, A-Z lower-cased; end is exclusive. Lines, whatever their length, are
     units: those that share a MinHash band are candidates, confirmed if the Jaccard similarity of their
-    five-word shingles is 0.8 or more. In each bucket one member is compared with the others. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
+    five-word shingles is 0.8 or more. In each bucket one member is compared with the others; buckets
+    whose members are then still in different components are compared fully, outsiders against members,
+    in blocks. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
     linked by their first or last 19 words, and those that hold a shingle twice as lines are. Components
     with units in two documents or more are reported, touching ones of a document and component merged.
     component_id is the component's least doc_id; that document keeps the passage, the others may drop

@@ -240,3 +240,26 @@ def test_op9_links_lines_of_any_length_that_are_similar_as_a_whole(spark):
     got = {(r.doc_id, r.start_word, r.end_word, r.component_id) for r in substrings.repeated_passages(table(spark, rows)).collect()}
     assert got >= {(i, *near[i], i - i % 2) for i in near} | {(200, 0, 7, 200), (201, 2, 9, 200)}
     assert not [x for x in got if x[0] >= 300]
+
+
+def test_op9_links_members_of_a_bucket_that_both_differ_from_its_centre(spark):
+    """Lines in one crowded group, against all pairs."""
+    words = [f"w{k}" for k in range(44)]
+    texts = {}
+    for i in range(90):
+        own = list(words)
+        for e in range(i % 6):
+            own[(7 * i + 11 * e) % 44] = f"x{i // 3}-{e}"
+        texts[i] = " ".join(own)
+    root = _jaccard_components(texts, 5)
+    docs = table(spark, [(i, t, "a") for i, t in texts.items()]).select("doc_id", "text")
+    lines = docs.select(docs.text.cast("binary").alias("text"))
+    every = lines.mapInArrow(substrings._grouped(substrings._least), "key long")
+    links = [(r.u, r.v) for r in substrings._unit_links(lines, substrings._bitmap(every, "key")).collect()]
+    node = {i: int(substrings.units([t.encode()])[3][0]) for i, t in texts.items()}
+    top = {n: n for n in node.values()}
+    for u, v in links:
+        a, b = top[u], top[v]
+        top = {k: min(a, b) if x in (a, b) else x for k, x in top.items()}
+    same = lambda f: {(i, j) for i in texts for j in texts if f(i) == f(j)}
+    assert same(lambda i: top[node[i]]) == same(lambda i: root[i])
