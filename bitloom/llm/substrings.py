@@ -23,6 +23,9 @@ WINDOW = 29
 #: 50 bands of 7 rows, as op7 has: a pair of units of similarity exactly 0.8 is missed once in about 100,000.
 BANDS, ROWS = 50, 7
 PERCENT = 80
+#: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
+#: whole chunk that starts at most WINDOW - 1 words late, and one that ends at most WINDOW - 1 early.
+BESIDE = WINDOW
 #: Rows of a cell in which members of a bucket are compared.
 BLOCK = 250
 #: Chunks that share their first or last 19 words are linked if these hold so many different shingles.
@@ -254,7 +257,7 @@ def _sets(bitmap):
 
 
 def _places(chunk_map, unit_map):
-    """(doc_id, first, end, node) of the chunks and units that may be like another."""
+    """(doc_id, first, end, node, chunk) of the chunks and units that may be like another."""
 
     def run(batch, begin, texts):
         number, at, node, rows = paragraphs(texts)
@@ -263,11 +266,86 @@ def _places(chunk_map, unit_map):
         text, first, end, name, bounds, value = units(texts)
         too = _wanted(unit_map, bounds, value)
         ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
-        return {"doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])), "node": np.concatenate((node[on], name[too]))}
+        return {
+            "doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])),
+            "node": np.concatenate((node[on], name[too])), "chunk": np.arange(len(on) + len(too)) < len(on),
+        }
 
     return _grouped(run)
 
 
+def _place(doc_id: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return kernels.mix(kernels.mix(doc_id.view(np.uint64)) ^ first.view(np.uint64)).view(np.int64)
+
+
+def _beside(bitmap, by_place: bool):
+    """(doc_id, first, node, place, before, after): hashes of up to BESIDE words beside chunks that may be wanted.
+
+    A chunk is wanted by its place or by its node. The nearest words come first, four bytes each.
+    """
+
+    def run(batch, begin, texts):
+        number, at, node, _ = paragraphs(texts)
+        ids = batch.column("doc_id").take(pa.array(begin + number))
+        place = _place(ids.to_numpy(zero_copy_only=False).astype(np.int64), at)
+        on = np.flatnonzero(_in(bitmap, place if by_place else node))
+        starts, words = kernels.words_at(b"\n".join(texts).lower())
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        words = (words >> np.uint64(32)).astype(np.uint32)
+        before, after = [], []
+        for text, i in zip(number[on], at[on]):
+            low, high = bounds[text], bounds[text + 1]
+            i += low
+            before.append(words[max(low, i - BESIDE) : i][::-1].tobytes())
+            after.append(words[i + LENGTH : min(high, i + LENGTH + BESIDE)].tobytes())
+        return {
+            "doc_id": ids.take(pa.array(on)), "first": at[on], "node": node[on], "place": place[on],
+            "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary()),
+        }
+
+    return _grouped(run)
+
+
+_BESIDE = "doc_id long, first long, node long, place long, before binary, after binary"
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, first, root, left, right): equal words beside a chunk and its component's kept one."""
+    for batch in batches:
+        grown = []
+        for one, two in (("before", "kept_before"), ("after", "kept_after")):
+            n = []
+            for x, y in zip(batch.column(one), batch.column(two)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                size = min(len(x), len(y))
+                n.append(int(np.argmin(np.append(x[:size] == y[:size], False))))
+            grown.append(pa.array(n, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "first", "root")), *grown], names=["doc_id", "first", "root", "left", "right"])
+
+
+def _growth(named: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, first, root, left, right) of the reported ``chunks`` (doc_id, first, node, root).
+
+    Each is compared word by word with its component's kept occurrence, the least place of its least
+    document; that one grows as far as it is equal to any other.
+    """
+    kept = chunks.groupBy("root").agg(F.min(F.struct("doc_id", "first")).alias("k"))
+    kept = checkpoint(kept.select("root", F.col("k.doc_id").alias("kept_id"), F.col("k.first").alias("kept_first")))
+    at = kept.select(F.col("kept_id").alias("doc_id"), F.col("kept_first").alias("first"))
+    places = at.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(_place(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["place"]) for b in batches), "place long")
+    text = named.mapInArrow(_beside(_bitmap(places, "place"), True), _BESIDE)
+    text = text.select(F.col("doc_id").alias("kept_id"), F.col("first").alias("kept_first"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    # Rows of one doc_id with different texts may hold several chunks at one place: one of them is taken.
+    text = text.join(kept, ["kept_id", "kept_first"]).groupBy("root", "kept_id", "kept_first").agg(F.min(F.struct("kept_before", "kept_after")).alias("t"))
+    nodes = checkpoint(chunks.select("node", "root").distinct().join(text, "root").select("node", "root", "kept_id", "kept_first", "t.*"))
+    beside = named.mapInArrow(_beside(_bitmap(nodes, "node"), False), _BESIDE).drop("place").join(nodes, "node")
+    others = beside.where("doc_id <> kept_id or first <> kept_first")
+    others = others.select("doc_id", "first", "root", "before", "after", "kept_before", "kept_after")
+    grown = checkpoint(others.mapInArrow(_grow, "doc_id long, first long, root long, left long, right long"))
+    most = grown.groupBy("root").agg(F.max("left").alias("left"), F.max("right").alias("right")).join(kept, "root")
+    return grown.union(most.select(F.col("kept_id").alias("doc_id"), F.col("kept_first").alias("first"), "root", "left", "right"))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -343,7 +421,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whose members are then still in different components are compared fully, outsiders against members,
     in blocks. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
     linked by their first or last 19 words, and those that hold a shingle twice as lines are. Components
-    with units in two documents or more are reported, touching ones of a document and component merged.
+    with units in two documents or more are reported. Chunks grow word by word as long as they are equal
+    to their component's kept one; touching spans of a document and component are merged. A chunk that
+    differs in its first or last word only is reported with that word.
     component_id is the component's least doc_id; that document keeps the passage, the others may drop
     it. Null and empty texts and repeats inside one document give no rows, nor do rows with a null
     doc_id; rows of one doc_id count as one document.
@@ -358,11 +438,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     unit_map = _bitmap(twice(texts.mapInArrow(_grouped(_least), "key long")), "key")
     roots = checkpoint(connected_components(links.union(_unit_links(texts, unit_map))))
 
-    places = named.mapInArrow(_places(chunk_map, unit_map), "doc_id long, first long, end long, node long").join(roots, "node", "left")
-    places = checkpoint(places.select("doc_id", "first", "end", F.coalesce("root", "node").alias("root")).distinct())
+    schema = "doc_id long, first long, end long, node long, chunk boolean"
+    places = named.mapInArrow(_places(chunk_map, unit_map), schema).join(roots, "node", "left")
+    places = checkpoint(places.withColumn("root", F.coalesce("root", "node")).distinct())
     span = places.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     span = checkpoint(span.where("component_id <> last").select("root", "component_id"))
-    found = places.join(span, "root").select("doc_id", "component_id", "first", "end").distinct()
+    found = checkpoint(places.join(span, "root"))
+    grown = _growth(named, found.where("chunk").select("doc_id", "first", "node", "root"))
+    grown = grown.join(span, "root").select("doc_id", "component_id", (F.col("first") - F.col("left")).alias("first"), (F.col("first") + LENGTH + F.col("right")).alias("end"))
+    found = found.select("doc_id", "component_id", "first", "end").union(grown).distinct()
     over = Window.partitionBy("doc_id", "component_id").orderBy("first", "end")
     new = F.coalesce(F.col("first") > F.max("end").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     grouped = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))

@@ -263,3 +263,23 @@ def test_op9_links_members_of_a_bucket_that_both_differ_from_its_centre(spark):
         top = {k: min(a, b) if x in (a, b) else x for k, x in top.items()}
     same = lambda f: {(i, j) for i in texts for j in texts if f(i) == f(j)}
     assert same(lambda i: top[node[i]]) == same(lambda i: root[i])
+
+
+@pytest.mark.parametrize("length", [51, 60, 100])
+def test_op9_spans_cover_the_whole_repeated_passage(spark, length):
+    """Exact passages inside longer lines: one span a copy covers all of it, and a changed end word at most."""
+    rows, where = [], {}
+    for k in range(20):
+        passage = " ".join(f"p{k}-{i}" for i in range(length))
+        for c in range(3):
+            first = 5 + 13 * c + k
+            filler = [f"f{k}-{c}-{i}" for i in range(first + 40)]
+            rows.append((10 * k + c, f"{' '.join(filler[:first])} {passage} {' '.join(filler[first:])}", "a"))
+            where[10 * k + c] = [(first, first + length, 10 * k)]
+    got = {}
+    for r in substrings.repeated_passages(table(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word, r.component_id))
+    assert got.keys() == where.keys()
+    for i, ((first, end, component),) in where.items():
+        ((a, b, c),) = got[i]
+        assert first - 1 <= a <= first and end <= b <= end + 1 and c == component
