@@ -176,13 +176,29 @@ _HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 BITS, PROBES = 1 << 26, 3
 
 
+#: 64-bit words of a part of such a map, as it comes to the driver.
+PART = 1 << 14
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = []
+        for words in batch.column("words"):
+            part = np.zeros(PART, np.int64)
+            part[words.values.field("word").to_numpy() % PART] = words.values.field("bits").to_numpy()
+            parts.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(parts, pa.binary())], names=["part", "bits"])
+
+
 def _bitmap(values: DataFrame, name: str):
-    """A broadcast map of a column of hashes; at most BITS / 64 words come to the driver."""
+    """A broadcast map of a column of hashes; BITS / 8 bytes come to the driver, in parts."""
     probes = [F.shiftrightunsigned(name, 19 * i).bitwiseAND(BITS - 1) for i in range(PROBES)]
     at = values.select(F.explode(F.array(*probes)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    parts = words.groupBy(F.expr(f"word div {PART}").alias("part")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
     out = np.zeros(BITS // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for part in parts.mapInArrow(_parts, "part long, bits binary").toLocalIterator():
+        out[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.bits, np.uint64)
     return values.sparkSession.sparkContext.broadcast(out)
 
 
