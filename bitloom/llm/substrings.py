@@ -242,20 +242,31 @@ def _chunks(bitmap=None):
 
 
 def _least(batch, begin, texts):
-    """(key) the least shingles of the units of some texts; equal units each give theirs."""
-    _, _, _, _, bounds, value = units(texts)
-    return {"key": _prefixes(bounds, value)[1]}
+    """(key, node) the least shingles of the distinct units of some texts."""
+    _, _, _, node, bounds, value = units(texts)
+    number, key = _prefixes(bounds, value)
+    first = np.zeros(len(node), bool)
+    first[np.unique(node, return_index=True)[1]] = True
+    on = first[number]
+    return {"key": key[on], "node": node[number[on]]}
 
 
-def _bands(bitmap):
-    """(key, node) for every band of the distinct units that may be like another."""
+def _nodes(batch, begin, texts):
+    """(key) the nodes of the units of some texts, as often as they occur."""
+    return {"key": units(texts)[3]}
+
+
+def _bands(bitmap, key_map=None):
+    """(key, node) for every band of the distinct units that may be like another, if the key may be wanted."""
 
     def run(batch, begin, texts):
         _, _, _, node, bounds, value = units(texts)
         on = _wanted(bitmap, bounds, value)
         on = on[np.unique(node[on], return_index=True)[1]]
         keys = [kernels.band_keys(_HASH.minima(value[bounds[i] : bounds[i + 1]]), BANDS, ROWS) for i in on]
-        return {"key": np.concatenate([np.empty(0, np.int64), *keys]), "node": np.repeat(node[on], BANDS)}
+        key, node = np.concatenate([np.empty(0, np.int64), *keys]), np.repeat(node[on], BANDS)
+        on = _in(key_map, key)
+        return {"key": key[on], "node": node[on]}
 
     return _grouped(run)
 
@@ -272,7 +283,7 @@ def _sets(bitmap):
     return _grouped(run)
 
 
-def _places(chunk_map, unit_map):
+def _places(chunk_map, unit_map, same_map):
     """(doc_id, first, end, node, chunk) of the chunks and units that may be like another."""
 
     def run(batch, begin, texts):
@@ -280,7 +291,7 @@ def _places(chunk_map, unit_map):
         chunk, key = _chunk_keys(rows)
         on = np.unique(chunk[_in(chunk_map, key)])
         text, first, end, name, bounds, value = units(texts)
-        too = _wanted(unit_map, bounds, value)
+        too = np.union1d(_wanted(unit_map, bounds, value), np.flatnonzero(_in(same_map, name)))
         ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
         return {
             "doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])),
@@ -391,6 +402,11 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _twice(keys: DataFrame) -> DataFrame:
+    """(key) the keys that occur twice or more."""
+    return checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+
+
 def _centers(members: DataFrame) -> DataFrame:
     """(key, center): a member of each bucket of two or more, drawn by the key."""
     drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
@@ -406,11 +422,11 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _unit_links(texts: DataFrame, unit_map) -> DataFrame:
     """(u, v): units that share a band and are similar, as many as it takes to join their components."""
-    members = texts.mapInArrow(_bands(unit_map), "key long, node long").distinct()
-    over = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = checkpoint(members.join(over, "key"))
+    schema = "key long, node long"
+    over = _twice(texts.mapInArrow(_bands(unit_map), schema))
+    members = checkpoint(texts.mapInArrow(_bands(unit_map, _bitmap(over, "key")), schema).distinct())
     pairs = _stars(members)
-    wanted = checkpoint(members.select("node").distinct())
+    wanted = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").join(wanted, "node", "left_semi")
     sets = checkpoint(sets.groupBy("node").agg(F.min("shingles").alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
@@ -446,16 +462,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
-    twice = lambda keys: checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    shared = twice(texts.mapInArrow(_chunks(), "key long, node long").select("key"))
+    shared = _twice(texts.mapInArrow(_chunks(), "key long, node long"))
     chunk_map = _bitmap(shared, "key")
     members = texts.mapInArrow(_chunks(chunk_map), "key long, node long").distinct()
     links = _stars(members)
-    unit_map = _bitmap(twice(texts.mapInArrow(_grouped(_least), "key long")), "key")
+    least = texts.mapInArrow(_grouped(_least), "key long, node long").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    unit_map = _bitmap(checkpoint(least.where("low <> high").select("key")), "key")
+    same_map = _bitmap(_twice(texts.mapInArrow(_grouped(_nodes), "key long")), "key")
     roots = checkpoint(connected_components(links.union(_unit_links(texts, unit_map))))
 
     schema = "doc_id long, first long, end long, node long, chunk boolean"
-    places = named.mapInArrow(_places(chunk_map, unit_map), schema).join(roots, "node", "left")
+    places = named.mapInArrow(_places(chunk_map, unit_map, same_map), schema).join(roots, "node", "left")
     places = checkpoint(places.withColumn("root", F.coalesce("root", "node")).distinct())
     span = places.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     span = checkpoint(span.where("component_id <> last").select("root", "component_id"))
