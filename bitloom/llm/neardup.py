@@ -184,6 +184,15 @@ def _cells(left: DataFrame, *columns: str) -> DataFrame:
     return cells.where("size(outs) > 0 and size(members) > 0").select("outs", "members")
 
 
+def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): the node of each class with the least among the classes of a doc_id that several classes hold."""
+    sets = F.struct("d1", "d2")
+    several = named.groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").select("doc_id")
+    held = named.join(several, "doc_id").join(classes, ["d1", "d2"]).select("doc_id", "node").distinct()
+    least = held.groupBy("doc_id").agg(F.min("node").alias("least"))
+    return held.join(least, "doc_id").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -226,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text"))
     # Texts of documents that share a band with another are moved once.
     texts = checkpoint(texts.join(members.select("node").distinct(), "node", "left_semi"))
-    links = checkpoint(_confirmed(stars, texts, width, percent).distinct())
+    links = checkpoint(_confirmed(stars, texts, width, percent).union(_same_document(named, classes)).distinct())
     roots = checkpoint(connected_components(links))
 
     # Buckets that still hold several components: everyone outside the largest against everyone.

@@ -283,3 +283,12 @@ def test_op9_spans_cover_the_whole_repeated_passage(spark, length):
     for i, ((first, end, component),) in where.items():
         ((a, b, c),) = got[i]
         assert first - 1 <= a <= first and end <= b <= end + 1 and c == component
+
+
+def test_near_duplicates_of_a_doc_id_with_several_texts(spark):
+    """A doc_id's links are those of all its texts: 5 and 9 meet through 7."""
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = " ".join([*two[:-1], "changed"])
+    rows = [(5, " ".join(one), "a"), (7, " ".join(one), "a"), (7, " ".join(two), "a"), (9, near, "a"), (11, "other words", "a")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)}
