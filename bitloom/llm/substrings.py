@@ -173,7 +173,7 @@ _HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 
 #: Bits of the maps of wanted values, and probes of a value: a fixed size, whatever the input. Such a map
 #: spares the shuffle rows that cannot match; as it fills up it lets more pass, and what follows decides.
-BITS, PROBES = 1 << 26, 3
+BITS, PROBES = 1 << 24, 3
 
 
 #: 64-bit words of a part of such a map, as it comes to the driver.
