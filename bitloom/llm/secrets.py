@@ -43,6 +43,8 @@ EXPRESSIONS = {
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
     "pem": re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 }
+#: Characters of a token's part; where the expression fails, it fails at each later hit in the same run too.
+PART = re.compile(rb"[A-Za-z0-9_-]+")
 #: Runs of hexadecimal digits have no keyword; a run long enough is its own anchor.
 HEX = re.compile(rb"[0-9a-f]{24,}")
 _DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -60,7 +62,7 @@ def checksum_62(body: bytes) -> bytes:
 def _json_part(part: bytes) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):  # no base64, no JSON, or nested beyond what the parser goes into
         return False
 
 
@@ -87,16 +89,24 @@ def automaton():
 
 
 def find_secrets(data: bytes, keywords) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in bytes, by start and kind; per kind leftmost and without overlaps."""
+    """(start, end, kind) in bytes, by start and kind; per kind leftmost and without overlaps.
+
+    Linear in the text: a hit is tried only from where its kind is free, and what a token without its
+    second part has used up is not tried again.
+    """
     found = [(m.start(), m.end(), "hex") for m in HEX.finditer(data)]
     free: dict[str, int] = {}
     hits = [(last + 1 - n, kinds) for last, (n, kinds) in keywords.iter(data.lower().decode("latin-1"))]
     for start, kinds in sorted(hits):
         for kind in kinds:
-            if start >= free.get(kind, 0) and (m := EXPRESSIONS[kind].match(data, start)):
+            if start < free.get(kind, 0):
+                continue
+            if m := EXPRESSIONS[kind].match(data, start):
                 free[kind] = m.end()
                 if CHECKS[kind](m):
                     found.append((start, m.end(), kind))
+            elif kind == "jwt" and data.startswith(b"eyJ", start):
+                free[kind] = PART.match(data, start).end()
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
