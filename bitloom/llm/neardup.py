@@ -18,9 +18,9 @@ BANDS, ROWS = 50, 7
 HASHES = 352  # BANDS * ROWS, up to a multiple of 32 for packing
 #: Standard deviations of the b-bit estimate by which a candidate may fall short and still be confirmed.
 MARGIN = 4.5
-#: Buckets of more members are crowded: they are compared in blocks of about BLOCK, texts at hand, so
-#: that a block gives links only and not all its candidate pairs.
-CROWDED, BLOCK = 32, 250
+#: Buckets of more members are crowded: they are compared in blocks of about BLOCK members or BLOCK_SHINGLES
+#: shingles, whichever is less, texts at hand, so that a block gives links only and not all its candidate pairs.
+CROWDED, BLOCK, BLOCK_SHINGLES = 32, 250, 500_000
 
 
 def _fingerprint(width: int):
@@ -43,8 +43,8 @@ def _fingerprint(width: int):
                 bands.append(kernels.band_keys(minima, BANDS, ROWS))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sigs, longs), pa.array(bands, longs)],
-                names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+                [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sigs, longs), pa.array(bands, longs)],
+                names=["doc_id", "h", "n_shingles", "d1", "d2", "sig", "bands"],
             )
 
     return run
@@ -170,7 +170,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 def _cells(left: DataFrame, *columns: str) -> DataFrame:
     """(outs, members) for each block of outsiders and block of members of each bucket.
 
-    Every outsider meets every member of its bucket in one cell; a cell has about 2 * BLOCK rows at most.
+    Every outsider meets every member of its bucket in one cell; a cell has about 2 * BLOCK rows at most
+    and, where the caller counts them, 2 * BLOCK_SHINGLES shingles.
     """
     entry = F.struct(*columns).alias("e")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -208,22 +209,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     linked with nothing: component_id null, kept true. Rows that share a doc_id are one document
     whose links are those of all its texts.
     """
+    doc, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
     prints = checkpoint(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(
-            _fingerprint(width), "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>"
+        docs.select(doc.alias("doc_id"), text_bytes().alias("text"), digest.alias("h")).mapInArrow(
+            _fingerprint(width), "doc_id long, h long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>"
         )
     )
     named = prints.where("doc_id is not null and n_shingles > 0")
-    classes = checkpoint(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    reps = named.join(classes, ["d1", "d2"]).where(F.col("doc_id") == F.col("node"))
-    reps = checkpoint(reps.select("node", "sig", "bands"))
+    # A row for each class, whatever the number of its documents and of their repeats: equal sets have equal
+    # minima. (node, h) tell the text that stands for it.
+    one = F.min(F.struct("doc_id", "h")).alias("m")
+    reps = checkpoint(named.groupBy("d1", "d2").agg(one, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    reps = reps.select("d1", "d2", F.col("m.doc_id").alias("node"), F.col("m.h").alias("h"), "n", "sig", "bands")
+    classes = reps.select("d1", "d2", "node")
     sigs = reps.select("node", "sig")
 
     # One member of each bucket of two or more, drawn by the least node after mixing with the key.
-    rows = reps.select("node", F.explode("bands").alias("key")).withColumn("drawn", F.col("node").bitwiseXOR(F.xxhash64("key")))
+    rows = reps.select("node", F.col("n").alias("size"), F.explode("bands").alias("key")).withColumn("drawn", F.col("node").bitwiseXOR(F.xxhash64("key")))
     buckets = rows.groupBy("key").agg(F.min("drawn").alias("low"), F.max("drawn").alias("high")).where("low <> high")
     buckets = checkpoint(buckets.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center")))
-    members = checkpoint(rows.select("key", "node").join(buckets, "key"))
+    members = checkpoint(rows.select("key", "node", "size").join(buckets, "key"))
     stars = members.where("node <> center").select(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v")).distinct()
     least = least_agreement(percent)
     stars = (
@@ -232,24 +237,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         .where(_agreement(F.col("su"), F.col("sv")) >= least)
     )
     stars = checkpoint(stars.select("u", "v").distinct())
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text"))
-    # Texts of documents that share a band with another are moved once.
-    texts = checkpoint(texts.join(members.select("node").distinct(), "node", "left_semi"))
+    # Texts of documents that share a band with another are moved once; of a document's repeats one is.
+    wanted = checkpoint(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "h"))
+    texts = docs.where("doc_id is not null and text is not null").select(doc.alias("node"), digest.alias("h"), text_bytes().alias("text"))
+    texts = _maybe(texts, wanted).groupBy("node", "h").agg(F.first("text").alias("text"))
+    texts = checkpoint(texts.join(wanted.distinct(), ["node", "h"], "left_semi").select("node", "text"))
     links = checkpoint(_confirmed(stars, texts, width, percent).union(_same_document(named, classes)).distinct())
     roots = checkpoint(connected_components(links))
 
     # Buckets that still hold several components: everyone outside the largest against everyone.
-    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    labelled = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     mixed = by_root.groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")
+        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count("*").alias("roots")
     )
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES))
     mixed = checkpoint(
         mixed.where("roots > 1").select(
-            "key", "main", "all", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h")
+            "key", F.col("m.root").alias("main"), "all", blocks(F.col("all"), F.col("size")).alias("g"),
+            blocks(F.col("all") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("h"),
         )
-    )
-    left = labelled.join(mixed, "key").join(sigs, "node")
+    )
+    left = labelled.drop("size").join(mixed, "key").join(sigs, "node")
     few = _cells(left.where(F.col("all") <= CROWDED), "node", "root", "sig")
     cross = few.mapInArrow(_cross_block(least), "u long, v long").distinct()
     cross = checkpoint(cross.join(stars, ["u", "v"], "left_anti"))
@@ -276,38 +285,41 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-#: Words of the map of doc_ids that need a look: a fixed size (about 4 MB as a table), whatever the input.
+#: Words of the map of wanted keys: a fixed size (about 4 MB as a table), whatever the input.
 MAP_WORDS = 1 << 18
 
 
-def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with _look: true where doc_id is in ``ids``, and for others whose bit is also set.
+def _maybe(rows: DataFrame, wanted: DataFrame, keep: bool = True) -> DataFrame:
+    """The ``rows`` that the columns of ``wanted`` may match (or, with ``keep`` false, that they surely don't).
 
     The map is a table of at most MAP_WORDS rows of 64 bits, so it may be broadcast at any size of the
-    input. As it fills up, more rows are looked at; none is missed.
+    input. As it fills up, more rows pass; none is missed.
     """
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_WORDS * 64))
-    at = ids.select(slot.alias("_s"))
-    words = at.groupBy(F.expr("_s div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_s % 64 as int)))").alias("_bits"))
-    marked = docs.withColumn("_s", slot).withColumn("_word", F.expr("_s div 64")).join(F.broadcast(words), "_word", "left")
-    look = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_s % 64 as int)) & 1L") == 1, F.lit(False))
-    return marked.select(*docs.columns, look.alias("_look"))
+    slot = F.pmod(F.xxhash64(*wanted.columns), F.lit(MAP_WORDS * 64))
+    at = wanted.select(slot.alias("s"))
+    words = at.groupBy(F.expr("s div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
+    marked = rows.withColumns({"_slot": slot}).withColumn("_word", F.expr("_slot div 64"))
+    marked = marked.join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
+    on = F.coalesce(F.expr("shiftrightunsigned(bits, cast(_slot % 64 as int)) & 1L") == 1, F.lit(False))
+    return marked.where(on if keep else ~on).select(*rows.columns)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group (five-word shingles) stays.
+    """Pipeline stage: one document of each near-duplicate group stays (words and similarity as for all such stages: 5 and 0.8).
 
-    Of repeated rows (equal in all columns) one stays; rows with a null doc_id all stay. Only rows whose
-    doc_id goes or occurs twice, as a fixed-size map tells, are shuffled with their texts.
+    Of repeated rows (equal in all columns) one stays; rows with a null doc_id all stay, as do null and empty
+    texts; no rows give no rows. Ties: a group's least doc_id stays. The caller's columns travel in one
+    struct, so their names don't matter. Only rows whose doc_id goes or occurs twice, as a fixed-size map
+    tells, are shuffled with their texts; repeats are dropped in their task first.
     """
-    found = checkpoint(near_duplicates(docs.select("doc_id", "text"), width=5).where("doc_id is not null").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("gone")
-    ).where("gone or n > 1"))
-    marked = _flagged(docs, found)
-    gone = found.where("gone").select(F.col("doc_id").alias("_gone"))
-    # Repeated rows are dropped where the join has put them: one shuffle of the texts does for both.
-    look = marked.where("_look and doc_id is not null").drop("_look").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return look.dropDuplicates().union(marked.where("not _look or doc_id is null").drop("_look"))
+    found = near_duplicates(docs.select("doc_id", "text"), width=5).where("doc_id is not null").groupBy("doc_id")
+    found = checkpoint(found.agg(F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("gone")).where("gone or n > 1"))
+    ids = found.select(F.col("doc_id").alias("node"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.struct("*").alias("row"))
+    gone = found.where("gone").select(F.col("doc_id").alias("node"))
+    look = _maybe(rows.where("node is not null"), ids).groupBy("node", "row").agg(F.lit(1).alias("one"))
+    look = look.join(gone, "node", "left_anti").select("row.*")
+    return look.union(rows.where("node is null").select("row.*")).union(_maybe(rows.where("node is not null"), ids, False).select("row.*"))
 
 
 #: The same rows from DuckDB: all pairs of different sets that share a shingle, then reachability.

@@ -10,21 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels
-from bitloom.llm.common import in_fold, text_bytes
+from bitloom.llm.common import checkpoint, in_fold, text_bytes
 
 #: Labelled training rows of each class that are drawn (in expectation; fewer if a class has fewer), by
 #: a hash of the id.
 ROWS_A_CLASS = 6000
-#: Absolute discount, of counts of texts; beginnings and words in fewer texts are left to the backoff.
-DISCOUNT, LEAST = 0.5, 6
+#: Absolute discount of counts of texts.
+DISCOUNT = 2
 #: Share of the drawn rows that calibrate the scores instead of being counted.
 CALIBRATE = 0.25
-#: Most beginnings and words that the broadcast model holds: the most frequent ones.
-MOST_NODES = 1_000_000
 #: Lengths in bytes of the beginnings that a word's probability passes through.
 STEMS = (2, 3, 4, 5, 6, 7, 8, 10, 12)
-#: Log-ratio beyond the typical word's up to which a word is taken to say nothing.
-SILENT = 1.25
+#: Share of a toxic text's words that the toxic model gives; the ordinary model gives the others.
+TOXIC_WORDS = 0.01
+#: Most that a text's typical word may shift its log-ratios by: what language and form say of the class.
+SHIFT = 1.0
 #: Share of toxic documents that calibration takes as usual; scores from TOXIC_FROM on count as toxic.
 USUAL, TOXIC_FROM = 0.1, 0.3
 
@@ -62,31 +62,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class KneserNey:
-    """Log-ratios log P(node | toxic) - log P(node | plain) of known nodes, as sorted hashes.
+    """Log-ratios log P(node | toxic) - log P(node | plain), as sorted hashes, and what a node's rare followers get.
 
     A word's probability is the product over its beginnings of P_c(node | parent) =
-    (max(n_c(node) - D, 0) + R_c * B(node | parent)) / N_c, where c is the class, N_c the sum of n_c over
-    the parent's nodes, R_c what the discounts take off there, and B the share of the node in both
-    classes' counts together. B is shared, so a node that one class hardly has is judged by the counts of
-    both, and a node that training lacks says nothing of the class.
+    (max(n_c(node) - D, 0) + R_c * B(node | parent)) / N_c, where c is the class, n_c the number of distinct
+    texts of the class that the node continues its parent in, N_c the sum of n_c over the parent's nodes,
+    R_c what the discounts take off there (and one pseudo-count), and B the share of the node in both
+    classes' counts together. B is shared, so a node that neither class has more than D times has the ratio
+    R_1 / N_1 to R_0 / N_0 of its parent, whatever B is: such nodes need no place in the model, and nor do
+    those that training lacks. What follows a rare node says nothing, as all of its counts are taken off.
     """
 
-    def __init__(self, nodes: np.ndarray, ratios: np.ndarray):
-        self.nodes, self.ratios = nodes, ratios
+    def __init__(self, nodes: np.ndarray, ratios: np.ndarray, rest: np.ndarray):
+        self.nodes, self.ratios, self.rest = nodes, ratios, rest
 
     def log_ratios(self, data: bytes) -> np.ndarray:
         """Log-likelihood ratio of each word of a text."""
         parts = [np.empty(0)]
         for n, out in _nodes(data):
             words = np.zeros(n)
-            going = np.ones(n, bool)  # words whose beginning is known so far
+            last = np.full(n, np.searchsorted(self.nodes, np.uint64(0)))  # where the word's beginning so far is; -1: rare
             for which, nodes, _ in out:
-                on = going[which]
+                on = last[which] >= 0
                 which, nodes = which[on], nodes[on]
                 at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
                 hit = self.nodes[at] == nodes
                 words[which[hit]] += self.ratios[at[hit]]
-                going[which[~hit]] = False
+                last[which[hit]] = at[hit]
+                rare = which[~hit]
+                words[rare] += self.rest[last[rare]]
+                last[rare] = -1
             parts.append(words)
         return np.concatenate(parts)
 
@@ -94,14 +99,12 @@ class KneserNey:
 def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> DataFrame:
     """(toxic, text) of a bounded, repeatable sample of the labelled rows outside the held-out fold.
 
-    Class sizes are counted on the labels; each class is thinned by a hash to about the same number of
-    rows (else the discounts weigh more on the smaller one), ``rows_a_class`` at most. The ids that are
-    broadcast, and the model, thus stay bounded however many labels there are.
+    Class sizes are counted on the labels; each class is thinned by a hash to about ``rows_a_class`` rows at
+    most. The ids that are broadcast, and the model, thus stay bounded however many labels there are.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~in_fold(F.col("doc_id"), 4, 2))
     known = known.select("doc_id", "toxic").distinct()
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows_a_class = min(rows_a_class, *counts.values()) if len(counts) == 2 else 0
     share = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) / 1e6
     keep = F.lit(False)
     for c, n in counts.items():
@@ -111,41 +114,58 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A
     return rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
 
 
+def _logs(node: DataFrame) -> DataFrame:
+    """(parent, all, rest, and N_c and R_c of each class) of all parents of nodes (node, parent, one, zero)."""
+    sums = [F.sum(c).alias(f"n_{c}") for c in ("one", "zero")] + [(F.sum(F.least(c, F.lit(float(DISCOUNT)))) + 1).alias(f"r_{c}") for c in ("one", "zero")]
+    by = node.groupBy("parent").agg(*sums).withColumns({"n_one": F.col("n_one") + 1, "n_zero": F.col("n_zero") + 1})
+    return by.withColumn("rest", F.log("r_one") - F.log("n_one") - F.log("r_zero") + F.log("n_zero"))
+
+
+def model_table(counts: DataFrame) -> DataFrame:
+    """(node, ratio, rest) of the root 0 and of all nodes that a class has more than DISCOUNT times."""
+    nodes = counts
+    by = _logs(nodes)
+    p = lambda c: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + F.col(f"r_{c}") * F.col("b")) / F.col(f"n_{c}")
+    known = nodes.where(F.greatest("one", "zero") > DISCOUNT).join(by.drop("rest"), "parent")
+    known = known.withColumn("b", (F.col("one") + F.col("zero")) / (F.col("n_one") + F.col("n_zero") - 2))
+    known = known.select("node", (F.log(p("one")) - F.log(p("zero"))).alias("ratio")).unionByName(nodes.sparkSession.range(1).select(F.col("id").alias("node"), F.lit(0.0).alias("ratio")))
+    rest = by.select(F.col("parent").alias("node"), "rest")
+    return known.join(rest, "node", "left").select("node", "ratio", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+
+
 def train(rows: DataFrame) -> tuple[KneserNey, tuple[float, float]] | None:
     """The model and its calibration (slope, offset); None without counts of both classes.
 
-    ``rows`` is bounded (see training_rows). Nodes are counted on the executors; the MOST_NODES most
-    frequent come to the driver.
+    ``rows`` is bounded (see training_rows), and so is what comes to the driver: the nodes that more than
+    DISCOUNT texts of a class hold, 16 bytes each. All others are in the backoff of their parents.
     """
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "text"), F.lit(1_000_000)) < CALIBRATE * 1e6
     counts = rows.where(~held).mapInArrow(_counts, "node long, parent long, toxic long, n long")
     n = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).cast("double")
-    nodes = counts.groupBy("node", "parent").agg(n(1).alias("one"), n(0).alias("zero")).where(F.col("one") + F.col("zero") >= LEAST)
-    got = nodes.orderBy(F.desc(F.col("one") + F.col("zero")), "node").limit(MOST_NODES).toPandas()
-    if not len(got) or not (got["one"].sum() and got["zero"].sum()):
+    counts = checkpoint(counts.groupBy("node", "parent").agg(n(1).alias("one"), n(0).alias("zero")))
+    seen = counts.agg(F.max("one").alias("one"), F.max("zero").alias("zero")).first()
+    if not (seen.one and seen.zero):
         return None
-    by = got.groupby("parent")
-    all_one, all_zero = by["one"].transform("sum"), by["zero"].transform("sum")
-    shared = (got["one"] + got["zero"]) / (all_one + all_zero)
-    logs = []
-    for c, total in (("one", all_one), ("zero", all_zero)):
-        taken = got[c].clip(upper=DISCOUNT)
-        rest = taken.groupby(got["parent"]).transform("sum")
-        # One pseudo-count from the shared distribution keeps a node that a class lacks off zero.
-        logs.append(np.log((got[c] - taken + (rest + 1) * shared) / (total + 1)))
-    keys = got["node"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model = KneserNey(keys[order], (logs[0] - logs[1]).to_numpy(np.float64)[order])
+    got = model_table(counts).withColumns({c: F.col(c).cast("float") for c in ("ratio", "rest")}).toPandas()
+    nodes = got["node"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(nodes)
+    model = KneserNey(nodes[order], *(got[c].to_numpy(np.float32)[order] for c in ("ratio", "rest")))
     return model, _calibrate(rows.where(held), model)
 
 
 def feature(words: np.ndarray) -> float:
-    """A text's log-likelihood ratio beyond that of its typical word, normalised by its length.
+    """Signed root of the difference of length-normalised log-likelihoods, toxic less ordinary; 0 without words.
 
-    The median word carries what language and form say of the class, which is not meant; what others
-    exceed it by (less SILENT) is divided by the root of the length, as few words make a long text toxic.
+    Few words make a text toxic: in the toxic class a word comes from the toxic model with probability
+    TOXIC_WORDS and else from the ordinary one, so ordinary words count against toxicity, each a little.
+    What language and form say of the class is in the median word; it is taken off up to SHIFT, which
+    leaves words of a wholly toxic text far above it.
     """
-    return float(np.maximum(words - np.median(words) - SILENT, 0).sum() / len(words) ** 0.5) if len(words) else 0.0
+    if not len(words):
+        return 0.0
+    shift = np.clip(np.median(words), -SHIFT, SHIFT)
+    mean = np.log1p(TOXIC_WORDS * np.expm1(np.minimum(words - shift, 20.0))).mean()
+    return float(np.sign(mean) * np.sqrt(abs(mean)))
 
 
 def _calibrate(rows: DataFrame, model: KneserNey) -> tuple[float, float]:
@@ -164,6 +184,8 @@ def _calibrate(rows: DataFrame, model: KneserNey) -> tuple[float, float]:
     x, y = got["f"].to_numpy(), got["toxic"].to_numpy(float)
     if not len(x) or y.min() == y.max():
         return 1.0, float(np.log(USUAL / (1 - USUAL)))
+    scale = float(x.std()) or 1.0
+    x = x / scale
     w = np.where(y == 1, USUAL / y.mean(), (1 - USUAL) / (1 - y.mean()))
     a, b = 0.0, float(np.log(USUAL / (1 - USUAL)))
     for _ in range(100):
@@ -173,7 +195,7 @@ def _calibrate(rows: DataFrame, model: KneserNey) -> tuple[float, float]:
         h = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - float(step[0]), b - float(step[1])
-    return a, b
+    return a / scale, b
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> DataFrame:
@@ -181,7 +203,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLAS
 
     Only rows outside the fold crc32(doc_id) mod 4 = 2 teach; a score depends on the text alone.
     Null and empty texts get the score of a text that says nothing. Without labels of both classes all
-    scores are 0. Rows stay in place; repeated and null ids do no harm.
+    scores are 0; no documents give no rows. Rows stay in place, so repeated and null ids do no harm and other
+    columns are not looked at; repeated labels count once, an id labelled both ways counts in both classes.
     """
     fitted = train(training_rows(docs, labels, rows_a_class))
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
