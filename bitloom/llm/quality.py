@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import SPACES, checkpoint
+from bitloom.llm.common import SPACES, checkpoint, shared_folder
 
 #: Rounds of expectation-maximisation, and the posterior from which a document is kept.
 ROUNDS, KEEP_FROM = 20, 0.5
 #: Start values and pseudo-counts: share of good documents, P(good vote | good), P(bad vote | bad).
 PRIOR, SURE, WEIGHT = 0.85, (0.99, 0.5), 20.0
-#: A rule is taken to be better than chance: bounds of its two accuracies. They keep the bad class from
-#: shrinking to the one kind of junk that is most frequent.
-BOUNDS = {1: (0.98, 0.999), -1: (0.3, 0.98)}
 
 
 def _counts(text: Column) -> dict[str, Column]:
@@ -52,14 +51,20 @@ def _covered(ranked: Column) -> Column:
     return F.coalesce(F.aggregate(places, start, step, lambda a: a["n"]), F.lit(0))
 
 
+#: Columns that ``text_statistics`` adds; those with an underscore serve the rules.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_n_lines", "_n_distinct", "_n_upper", "_n_lower", "_n_bare", "_n_loud")
+
+
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """``docs`` with the columns of STATISTICS (n_words, word_chars, ..., base_failed).
 
-    A null text counts as empty. Further columns, prefixed with an underscore, serve the rules.
-    Row by row: long texts stay within their row and nothing is shuffled.
+    A null text counts as empty; no rows give no rows. Columns of ``docs`` with a statistic's name give
+    way to it, others are kept whatever their names. Row by row: long texts stay within their row, ties
+    and repeated rows need no rule, and nothing is shuffled.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns(_counts(t))
+    out = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = F.col("t")
+    out = out.withColumns(_counts(t))
     out = out.withColumn("_ranked", _windows(F.col("_words")))
     out = out.withColumns(
         {
@@ -73,9 +78,10 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "_n_bare": F.regexp_count(t, F.lit(f"(?<![^{SPACES}])[^{SPACES}\\p{{L}}]+(?![^{SPACES}])")).cast("long"),
             "_n_loud": (F.length(t) - F.length(F.translate(t, "!?", ""))).cast("long"),
         }
-    ).drop("_words", "_lines", "_ranked")
+    )
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"word_chars": F.col("word_chars").cast("long"), "n_symbols": F.col("n_symbols").cast("long"), "base_failed": base})
+    out = out.withColumns({"word_chars": F.col("word_chars").cast("long"), "n_symbols": F.col("n_symbols").cast("long"), "base_failed": base})
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in STATISTICS), *STATISTICS)
 
 
 def rules() -> dict[str, Column]:
@@ -105,12 +111,13 @@ def voted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def label_model(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
-    """(votes, posterior) for every row of ``patterns`` (votes, n).
+    """(votes, posterior, prior, good, bad) for every row of ``patterns`` (votes, n).
 
     Latent good/bad quality; each rule has two accuracies, P(good vote | good) and P(bad vote | bad),
-    among the documents on which it doesn't abstain. The patterns are at most 3 ** n_rules rows,
-    however many documents there are, so the whole fit is one expression over their single list.
-    Pseudo-counts keep accuracies off 0 and 1; no patterns give no rows.
+    among the documents on which it doesn't abstain: ``good`` and ``bad``, as expectation-maximisation
+    estimates them (nothing overwrites the estimates; WEIGHT pseudo-counts keep them off 0 and 1 and lose
+    their weight as documents are added). The patterns are at most 3 ** n_rules rows, however many
+    documents there are, so the whole fit is one expression over their single list; no patterns give no rows.
     """
     one = F.lit(1.0)
 
@@ -128,7 +135,7 @@ def label_model(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Data
         def of(i: Column) -> Column:
             hit = F.aggregate(rows, F.lit(WEIGHT * start), lambda a, r: a + F.when(F.get(r["votes"], i) == vote, r["n"] * p(r)).otherwise(0.0))
             all_ = F.aggregate(rows, F.lit(WEIGHT), lambda a, r: a + F.when(F.get(r["votes"], i) != 0, r["n"] * p(r)).otherwise(0.0))
-            return F.greatest(F.lit(BOUNDS[vote][0]), F.least(F.lit(BOUNDS[vote][1]), hit / all_))
+            return hit / all_
 
         return F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), of)
 
@@ -153,41 +160,44 @@ def label_model(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Data
     run = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda state, k: step(F.col("rows"), state))
     fitted = checkpoint(one_row.withColumn("state", run))
     each = fitted.select("state", F.explode("rows").alias("r"))
-    return each.select(F.col("r.votes").alias("votes"), posterior(F.col("state"), F.col("r.votes")).alias("posterior"))
+    return each.select(F.col("r.votes").alias("votes"), posterior(F.col("state"), F.col("r.votes")).alias("posterior"), "state.*")
 
 
 def _fit(votes: DataFrame) -> DataFrame:
     """Posteriors by pattern, as a checkpointed table of at most 3 ** rules rows."""
-    return checkpoint(label_model(votes.groupBy("votes").agg(F.count("*").alias("n")), len(rules())))
+    return checkpoint(label_model(votes.groupBy("votes").agg(F.count("*").alias("n")), len(rules())).select("votes", "posterior"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, votes, posterior and kept for every row of ``docs``.
+    """doc_id, the statistics, votes, posterior and good for every row of ``docs``.
 
-    kept is false where base_failed, else posterior >= KEEP_FROM. The statistics are made once and
-    checkpointed without the texts; the posteriors come back by a broadcast of at most 3 ** rules rows.
+    good is posterior >= KEEP_FROM, the method's verdict. The statistics are made once and checkpointed
+    without the texts; the posteriors come back by a broadcast of at most 3 ** rules rows. Null and empty
+    texts are judged as texts without words; repeated rows get equal verdicts, null ids no special ones.
     """
     rows = checkpoint(voted(docs.select("doc_id", "text")).drop("text"))
-    out = rows.join(F.broadcast(_fit(rows)), "votes")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))
+    return rows.join(F.broadcast(_fit(rows)), "votes").withColumn("good", F.col("posterior") >= KEEP_FROM)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: base statistics and the label model's verdict on every document."""
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & F.col("good")).alias("kept"), "posterior",
+    )
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go.
+    """Pipeline stage: documents that the label model takes for bad go.
 
-    The votes are made twice, for the model and for the verdict, row by row: no text is shuffled, and
-    repeated or null ids need no key.
+    The posterior alone decides, as the method has it: it replaces filters of which all must pass, so a
+    short clean text stays. Rows and their votes are written once to the shared folder: no text is shuffled, and
+    repeated or null ids need no key. The caller's columns travel in one struct, so their names don't matter.
+    Null and empty texts are judged as texts without words; no rows give no rows.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    fitted = _fit(voted(docs.select("text")).select("votes"))
-    out = voted(packed).join(F.broadcast(fitted), "votes")
-    # One condition on both sides of the join: pushed below it, the statistics would be made again per use.
-    return out.where(F.when(F.col("base_failed"), 0.0).otherwise(F.col("posterior")) >= KEEP_FROM).select("row.*")
+    packed = voted(docs.select(F.struct("*").alias("packed"), F.col("text").alias("text"))).select("packed", "votes")
+    path = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
+    packed.write.parquet(path)
+    rows = spark.read.schema(packed.schema).parquet(path)
+    return rows.join(F.broadcast(_fit(rows.select("votes"))), "votes").where(F.col("posterior") >= KEEP_FROM).select("packed.*")

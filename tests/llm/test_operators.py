@@ -198,7 +198,7 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert set(docs.columns) < set(out.columns)
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
-    judged = quality.quality(docs).toPandas().set_index("doc_id")["kept"]
+    judged = quality.quality(docs).toPandas().set_index("doc_id")["good"]
     assert ids and ids <= set(judged[judged].index)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
