@@ -139,12 +139,21 @@ class MinHash:
         return best
 
 
+    def each(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Minima of many sets at once, a row each; set i is values[bounds[i] : bounds[i + 1]] and not empty."""
+        x = (values >> U64(32)).astype(np.uint32)
+        out = np.empty((len(bounds) - 1, self.n), np.uint32)
+        for k in range(self.n if len(out) else 0):
+            out[:, k] = np.minimum.reduceat(self.a[k] * x + self.b[k], bounds[:-1])
+        return out
+
+
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` minima; the band's number is part of it."""
-    grid = minima[: bands * rows].reshape(bands, rows).astype(U64)
+    """One 64-bit key for each band of ``rows`` minima (of one set, or of a set a row); the band's number is part of it."""
+    grid = minima[..., : bands * rows].reshape(*minima.shape[:-1], bands, rows).astype(U64)
     key = np.arange(1, bands + 1, dtype=U64) * U64(0xA0761D6478BD642F)
     for i in range(rows):
-        key = mix(key ^ (grid[:, i] + U64((i + 1) * 0xE7037ED1A0B428DB & (2**64 - 1))))
+        key = mix(key ^ (grid[..., i] + U64((i + 1) * 0xE7037ED1A0B428DB & (2**64 - 1))))
     return key.view(np.int64)
 
 

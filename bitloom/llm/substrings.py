@@ -20,8 +20,9 @@ LENGTH, WIDTH = 20, 5
 #: A paragraph starts where a three-word hash is the least of WINDOW neighbours. Every passage of
 #: LENGTH + WINDOW words or more that occurs twice thus holds the same whole paragraph at each place.
 WINDOW = 29
-#: 50 bands of 7 rows, as op7 has: a pair of units of similarity exactly 0.8 is missed once in about 100,000.
-BANDS, ROWS = 50, 7
+#: 22 bands of 4 rows: a pair of units of similarity exactly 0.8 is missed once in about 100,000. Units that are
+#: little alike share no shingle as a rule, so short bands bring few candidates here.
+BANDS, ROWS = 22, 4
 PERCENT = 80
 #: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
 #: whole chunk that starts at most WINDOW - 1 words late, and one that ends at most WINDOW - 1 early.
@@ -101,11 +102,12 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, now
 
 
-def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(texts: list[bytes], chunks: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of texts, first words, ends, nodes, bounds, shingles): lines, whatever their length, and odd chunks.
 
-    A line under WIDTH words is one shingle. Chunks are odd if they hold a shingle twice, as links()
-    judges the others. Shingles are distinct and ascending in each unit, from bounds[i] to bounds[i + 1].
+    A line under WIDTH words is one shingle. Chunks (of ``paragraphs``) are odd if they hold a shingle twice;
+    the others are linked by their keys. Shingles are distinct and ascending in each unit, from bounds[i] to
+    bounds[i + 1].
     """
     data = b"\n".join(texts).lower()
     starts, words = kernels.words_at(data)
@@ -126,12 +128,14 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     which.append(number[inside])
     value.append(five[inside])
     text = np.searchsorted(begin, low, side="right") - 1
-    chunk_text, chunk_at, content, rows = paragraphs(texts)
+    chunk_text, chunk_at, content, rows = chunks or paragraphs(texts)
     odd = np.flatnonzero((np.diff(np.sort(rows, axis=1), axis=1) == 0).any(axis=1))
     which.append(np.repeat(len(low) + np.arange(len(odd)), rows.shape[1]))
     value.append(rows[odd].ravel())
     which, value = np.concatenate(which), np.concatenate(value)
-    order = np.lexsort((value, which))
+    order = np.argsort(value)
+    kind = np.uint16 if len(low) + len(odd) <= 1 << 16 else np.int64  # short ones are sorted faster
+    order = order[np.argsort(which[order].astype(kind), kind="stable")]
     which, value = which[order], value[order]
     once = np.append(True, (which[1:] != which[:-1]) | (value[1:] != value[:-1]))
     which, value = which[once], value[once]
@@ -173,7 +177,7 @@ _HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 
 #: Bits of the maps of wanted values, and probes of a value: a fixed size, whatever the input. Such a map
 #: spares the shuffle rows that cannot match; as it fills up it lets more pass, and what follows decides.
-BITS, PROBES = 1 << 24, 3
+BITS, PROBES = 1 << 25, 3
 
 
 #: 64-bit words of a part of such a map, as it comes to the driver.
@@ -211,10 +215,18 @@ def _in(bitmap, values: np.ndarray) -> np.ndarray:
     return on
 
 
-def _wanted(bitmap, bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Units that may be like another: those with a least shingle that may occur twice."""
+#: Least shingles and nodes are keys of their own beside those of the chunks.
+_LEAST, _NODE = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3E39CB)
+
+
+def _key(values: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return kernels.mix(values.view(np.uint64) ^ kind).view(np.int64)
+
+
+def _alike(bitmap, bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Units that may be like a different one: those with a least shingle that may be another unit's too."""
     number, least = _prefixes(bounds, value)
-    return np.unique(number[_in(bitmap, least)])
+    return np.unique(number[_in(bitmap, _key(least, _LEAST))])
 
 
 def _grouped(run):
@@ -229,69 +241,56 @@ def _grouped(run):
     return over
 
 
-def _chunks(bitmap=None):
-    """(key, node) of the chunks, if the key may be wanted."""
-
-    def run(batch, begin, texts):
-        _, _, node, rows = paragraphs(texts)
-        number, key = _chunk_keys(rows)
-        on = _in(bitmap, key)
-        return {"key": key[on], "node": node[number[on]]}
-
-    return _grouped(run)
-
-
-def _least(batch, begin, texts):
-    """(key, node) the least shingles of the distinct units of some texts."""
-    _, _, _, node, bounds, value = units(texts)
-    number, key = _prefixes(bounds, value)
+def _keys(batch, begin, texts):
+    """(key, tag): chunk keys and units with the documents that hold them, least shingles with the units that do."""
+    chunks = paragraphs(texts)
+    chunk, key = _chunk_keys(chunks[3])
+    text, _, _, node, bounds, value = units(texts, chunks)
+    ids = batch.column("doc_id").to_numpy()[begin : begin + len(texts)]
+    number, least = _prefixes(bounds, value)
     first = np.zeros(len(node), bool)
     first[np.unique(node, return_index=True)[1]] = True
     on = first[number]
-    return {"key": key[on], "node": node[number[on]]}
-
+    keys = np.concatenate((key, _key(node, _NODE), _key(least[on], _LEAST)))
+    return {"key": keys, "tag": np.concatenate((ids[chunks[0][chunk]], ids[text], node[number[on]]))}
 
-def _nodes(batch, begin, texts):
-    """(key) the nodes of the units of some texts, as often as they occur."""
-    return {"key": units(texts)[3]}
 
-
-def _bands(bitmap, key_map=None):
-    """(key, node) for every band of the distinct units that may be like another, if the key may be wanted."""
+def _chunks(bitmap):
+    """(key, node) of the chunks, if the key may be shared."""
 
     def run(batch, begin, texts):
-        _, _, _, node, bounds, value = units(texts)
-        on = _wanted(bitmap, bounds, value)
-        on = on[np.unique(node[on], return_index=True)[1]]
-        keys = [kernels.band_keys(_HASH.minima(value[bounds[i] : bounds[i + 1]]), BANDS, ROWS) for i in on]
-        key, node = np.concatenate([np.empty(0, np.int64), *keys]), np.repeat(node[on], BANDS)
-        on = _in(key_map, key)
-        return {"key": key[on], "node": node[on]}
+        _, _, node, rows = paragraphs(texts)
+        number, key = _chunk_keys(rows)
+        on = _in(bitmap, key)
+        return {"key": key[on], "node": node[number[on]]}
 
     return _grouped(run)
 
 
-def _sets(bitmap):
-    """(node, shingles) of the distinct units whose node may be wanted."""
+def _prints(bitmap):
+    """(node, bands, shingles) of the distinct units that may be like a different one."""
 
     def run(batch, begin, texts):
         _, _, _, node, bounds, value = units(texts)
-        on = np.flatnonzero(_in(bitmap, node))
+        on = _alike(bitmap, bounds, value)
         on = on[np.unique(node[on], return_index=True)[1]]
-        return {"node": node[on], "shingles": pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in on], pa.binary())}
+        sets = [value[bounds[i] : bounds[i + 1]] for i in on]
+        minima = _HASH.each(np.concatenate([np.empty(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)]))
+        bands = pa.FixedSizeListArray.from_arrays(pa.array(kernels.band_keys(minima, BANDS, ROWS).ravel()), BANDS)
+        return {"node": node[on], "bands": bands.cast(pa.list_(pa.int64())), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
 
     return _grouped(run)
 
 
-def _places(chunk_map, unit_map, same_map):
-    """(doc_id, first, end, node, chunk) of the chunks and units that may be like another."""
+def _places(bitmap):
+    """(doc_id, first, end, node, chunk) of the chunks and units that may be another document's too, or like one of it."""
 
     def run(batch, begin, texts):
-        number, at, node, rows = paragraphs(texts)
+        chunks = number, at, node, rows = paragraphs(texts)
         chunk, key = _chunk_keys(rows)
-        on = np.unique(chunk[_in(chunk_map, key)])
-        text, first, end, name, bounds, value = units(texts)
-        too = np.union1d(_wanted(unit_map, bounds, value), np.flatnonzero(_in(same_map, name)))
+        on = np.unique(chunk[_in(bitmap, key)])
+        text, first, end, name, bounds, value = units(texts, chunks)
+        too = np.union1d(_alike(bitmap, bounds, value), np.flatnonzero(_in(bitmap, _key(name, _NODE))))
         ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
         return {
             "doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])),
@@ -402,33 +401,26 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _twice(keys: DataFrame) -> DataFrame:
-    """(key) the keys that occur twice or more."""
-    return checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-
-
-def _centers(members: DataFrame) -> DataFrame:
-    """(key, center): a member of each bucket of two or more, drawn by the key."""
+def _members(rows: DataFrame) -> DataFrame:
+    """(key, node, center): the members of each bucket of two or more of the distinct ``rows`` (key, node), with one drawn by the key."""
     drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
-    ends = members.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high")
-    return checkpoint(ends.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center")))
+    ends = rows.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high")
+    return checkpoint(rows.join(checkpoint(ends.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center"))), "key"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """(u, v): the centre of each bucket with the others."""
-    pairs = members.select("key", "node").join(_centers(members), "key").where("node <> center")
+    pairs = members.where("node <> center")
     return checkpoint(pairs.select(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v")).distinct())
 
 
-def _unit_links(texts: DataFrame, unit_map) -> DataFrame:
+def _unit_links(texts: DataFrame, bitmap) -> DataFrame:
     """(u, v): units that share a band and are similar, as many as it takes to join their components."""
-    schema = "key long, node long"
-    over = _twice(texts.mapInArrow(_bands(unit_map), schema))
-    members = checkpoint(texts.mapInArrow(_bands(unit_map, _bitmap(over, "key")), schema).distinct())
+    prints = texts.mapInArrow(_prints(bitmap), "node long, bands array<long>, shingles binary")
+    prints = checkpoint(prints.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("s")))
+    sets = prints.select("node", "s")
+    members = _members(prints.select(F.explode("bands").alias("key"), "node"))
     pairs = _stars(members)
-    wanted = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").join(wanted, "node", "left_semi")
-    sets = checkpoint(sets.groupBy("node").agg(F.min("shingles").alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
     roots = checkpoint(connected_components(links))
@@ -444,6 +436,12 @@ def _unit_links(texts: DataFrame, unit_map) -> DataFrame:
     return links.union(checkpoint(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long").distinct()))
 
 
+def shared_keys(named: DataFrame):
+    """A broadcast map of the keys of two documents or more (least shingles: of two units or more), from one pass."""
+    keys = named.mapInArrow(_grouped(_keys), "key long, tag long").groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
+    return _bitmap(checkpoint(keys.where("low <> high").select("key")), "key")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, component_id, kept): passages that repeat across documents.
 
@@ -462,17 +460,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
-    shared = _twice(texts.mapInArrow(_chunks(), "key long, node long"))
-    chunk_map = _bitmap(shared, "key")
-    members = texts.mapInArrow(_chunks(chunk_map), "key long, node long").distinct()
-    links = _stars(members)
-    least = texts.mapInArrow(_grouped(_least), "key long, node long").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    unit_map = _bitmap(checkpoint(least.where("low <> high").select("key")), "key")
-    same_map = _bitmap(_twice(texts.mapInArrow(_grouped(_nodes), "key long")), "key")
-    roots = checkpoint(connected_components(links.union(_unit_links(texts, unit_map))))
+    bitmap = shared_keys(named)
+    links = _stars(_members(texts.mapInArrow(_chunks(bitmap), "key long, node long").distinct()))
+    roots = checkpoint(connected_components(links.union(_unit_links(texts, bitmap))))
 
     schema = "doc_id long, first long, end long, node long, chunk boolean"
-    places = named.mapInArrow(_places(chunk_map, unit_map, same_map), schema).join(roots, "node", "left")
+    places = named.mapInArrow(_places(bitmap), schema).join(roots, "node", "left")
     places = checkpoint(places.withColumn("root", F.coalesce("root", "node")).distinct())
     span = places.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     span = checkpoint(span.where("component_id <> last").select("root", "component_id"))
