@@ -20,9 +20,9 @@ LENGTH, WIDTH = 20, 5
 #: A paragraph starts where a three-word hash is the least of WINDOW neighbours. Every passage of
 #: LENGTH + WINDOW words or more that occurs twice thus holds the same whole paragraph at each place.
 WINDOW = 29
-#: 22 bands of 4 rows: a pair of units of similarity exactly 0.8 is missed once in about 100,000. Units that are
-#: little alike share no shingle as a rule, so short bands bring few candidates here.
-BANDS, ROWS = 22, 4
+#: 12 bands of 2 rows: a pair of units of similarity exactly 0.8 is missed five times in a million. Units that are
+#: little alike share no five-word shingle as a rule, so short bands bring few candidates here.
+BANDS, ROWS = 12, 2
 PERCENT = 80
 #: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
 #: whole chunk that starts at most WINDOW - 1 words late, and one that ends at most WINDOW - 1 early.
@@ -148,14 +148,6 @@ def units(texts: list[bytes], chunks: tuple | None = None) -> tuple[np.ndarray,
     return np.concatenate((text, chunk_text[odd])), first, end, node, bounds, value
 
 
-def _prefixes(bounds: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units, shingles): the least shingles of each, so many that units of similarity 0.8 share one at least."""
-    size = np.diff(bounds)
-    many = size + 1 - (PERCENT * size + 99) // 100
-    number = np.repeat(np.arange(len(size)), many)
-    return number, value[np.arange(len(number)) + np.repeat(bounds[:-1] - np.cumsum(many) + many, many)].view(np.int64)
-
-
 def _chunk_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, keys) of the first and the last LENGTH - 1 words of chunks.
 
@@ -215,18 +207,21 @@ def _in(bitmap, values: np.ndarray) -> np.ndarray:
     return on
 
 
-#: Least shingles and nodes are keys of their own beside those of the chunks.
-_LEAST, _NODE = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3E39CB)
+#: Nodes are keys of their own beside those of the chunks and the bands.
+_NODE = np.uint64(0x52DCE729DA3E39CB)
 
 
-def _key(values: np.ndarray, kind: np.uint64) -> np.ndarray:
-    return kernels.mix(values.view(np.uint64) ^ kind).view(np.int64)
+def _node_key(node: np.ndarray) -> np.ndarray:
+    return kernels.mix(node.view(np.uint64) ^ _NODE).view(np.int64)
 
 
-def _alike(bitmap, bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Units that may be like a different one: those with a least shingle that may be another unit's too."""
-    number, least = _prefixes(bounds, value)
-    return np.unique(number[_in(bitmap, _key(least, _LEAST))])
+def _bands(node: np.ndarray, bounds: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, band keys as rows) of the distinct units."""
+    on = np.unique(node, return_index=True)[1]
+    size = np.diff(bounds)[on]
+    ends = np.cumsum(size)
+    own = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(bounds[on], size)
+    return on, kernels.band_keys(_HASH.each(value[own], np.append(0, ends)), BANDS, ROWS)
 
 
 def _grouped(run):
@@ -242,17 +237,14 @@ def _grouped(run):
 
 
 def _keys(batch, begin, texts):
-    """(key, tag): chunk keys and units with the documents that hold them, least shingles with the units that do."""
+    """(key, tag): chunk keys and units with the documents that hold them, band keys with the units that have them."""
     chunks = paragraphs(texts)
     chunk, key = _chunk_keys(chunks[3])
     text, _, _, node, bounds, value = units(texts, chunks)
     ids = batch.column("doc_id").to_numpy()[begin : begin + len(texts)]
-    number, least = _prefixes(bounds, value)
-    first = np.zeros(len(node), bool)
-    first[np.unique(node, return_index=True)[1]] = True
-    on = first[number]
-    keys = np.concatenate((key, _key(node, _NODE), _key(least[on], _LEAST)))
-    return {"key": keys, "tag": np.concatenate((ids[chunks[0][chunk]], ids[text], node[number[on]]))}
+    on, bands = _bands(node, bounds, value)
+    keys = np.concatenate((key, _node_key(node), bands.ravel()))
+    return {"key": keys, "tag": np.concatenate((ids[chunks[0][chunk]], ids[text], np.repeat(node[on], BANDS)))}
 
 
 def _chunks(bitmap):
@@ -267,22 +259,32 @@ def _chunks(bitmap):
     return _grouped(run)
 
 
-def _prints(bitmap):
-    """(node, bands, shingles) of the distinct units that may be like a different one."""
+def _banded(bitmap):
+    """(key, node) for every band of the distinct units, if the key may be shared."""
+
+    def run(batch, begin, texts):
+        _, _, _, node, bounds, value = units(texts)
+        on, bands = _bands(node, bounds, value)
+        key, node = bands.ravel(), np.repeat(node[on], BANDS)
+        on = _in(bitmap, key)
+        return {"key": key[on], "node": node[on]}
+
+    return _grouped(run)
+
+
+def _sets(bitmap):
+    """(node, shingles) of the distinct units whose node may be wanted."""
 
     def run(batch, begin, texts):
         _, _, _, node, bounds, value = units(texts)
-        on = _alike(bitmap, bounds, value)
+        on = np.flatnonzero(_in(bitmap, node))
         on = on[np.unique(node[on], return_index=True)[1]]
-        sets = [value[bounds[i] : bounds[i + 1]] for i in on]
-        minima = _HASH.each(np.concatenate([np.empty(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)]))
-        bands = pa.FixedSizeListArray.from_arrays(pa.array(kernels.band_keys(minima, BANDS, ROWS).ravel()), BANDS)
-        return {"node": node[on], "bands": bands.cast(pa.list_(pa.int64())), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+        return {"node": node[on], "shingles": pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in on], pa.binary())}
 
     return _grouped(run)
 
 
-def _places(bitmap):
+def _places(bitmap, node_map):
     """(doc_id, first, end, node, chunk) of the chunks and units that may be another document's too, or like one of it."""
 
     def run(batch, begin, texts):
@@ -290,7 +292,7 @@ def _places(bitmap):
         chunk, key = _chunk_keys(rows)
         on = np.unique(chunk[_in(bitmap, key)])
         text, first, end, name, bounds, value = units(texts, chunks)
-        too = np.union1d(_alike(bitmap, bounds, value), np.flatnonzero(_in(bitmap, _key(name, _NODE))))
+        too = np.flatnonzero(_in(node_map, name) | _in(bitmap, _node_key(name)))
         ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
         return {
             "doc_id": ids, "first": np.concatenate((at[on], first[too])), "end": np.concatenate((at[on] + LENGTH, end[too])),
@@ -416,11 +418,11 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _unit_links(texts: DataFrame, bitmap) -> DataFrame:
     """(u, v): units that share a band and are similar, as many as it takes to join their components."""
-    prints = texts.mapInArrow(_prints(bitmap), "node long, bands array<long>, shingles binary")
-    prints = checkpoint(prints.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("s")))
-    sets = prints.select("node", "s")
-    members = _members(prints.select(F.explode("bands").alias("key"), "node"))
+    members = _members(texts.mapInArrow(_banded(bitmap), "key long, node long").distinct())
     pairs = _stars(members)
+    wanted = checkpoint(members.select("node").distinct())
+    sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("s"))
+    sets = checkpoint(sets.join(wanted, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
     roots = checkpoint(connected_components(links))
@@ -433,11 +435,12 @@ def _unit_links(texts: DataFrame, bitmap) -> DataFrame:
     )
     mixed = mixed.where("roots > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h"))
     left = labelled.join(checkpoint(mixed), "key").join(sets, "node")
-    return links.union(checkpoint(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long").distinct()))
+    links = checkpoint(links.union(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long")).distinct())
+    return links
 
 
 def shared_keys(named: DataFrame):
-    """A broadcast map of the keys of two documents or more (least shingles: of two units or more), from one pass."""
+    """A broadcast map of the keys that two documents or more have (bands: two different units), from one pass."""
     keys = named.mapInArrow(_grouped(_keys), "key long, tag long").groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
     return _bitmap(checkpoint(keys.where("low <> high").select("key")), "key")
 
@@ -461,11 +464,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
     bitmap = shared_keys(named)
-    links = _stars(_members(texts.mapInArrow(_chunks(bitmap), "key long, node long").distinct()))
-    roots = checkpoint(connected_components(links.union(_unit_links(texts, bitmap))))
+    chunks = _stars(_members(texts.mapInArrow(_chunks(bitmap), "key long, node long").distinct()))
+    units_ = _unit_links(texts, bitmap)
+    roots = checkpoint(connected_components(chunks.union(units_)))
+    node_map = _bitmap(units_.select(F.explode(F.array("u", "v")).alias("node")), "node")
 
     schema = "doc_id long, first long, end long, node long, chunk boolean"
-    places = named.mapInArrow(_places(bitmap), schema).join(roots, "node", "left")
+    places = named.mapInArrow(_places(bitmap, node_map), schema).join(roots, "node", "left")
     places = checkpoint(places.withColumn("root", F.coalesce("root", "node")).distinct())
     span = places.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     span = checkpoint(span.where("component_id <> last").select("root", "component_id"))
