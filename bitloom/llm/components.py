@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: bigint) that is not the smallest of its component.
 
     root is the smallest node that the node can reach. Each round joins the edges with the
-    smallest neighbour of each node, found by a pre-aggregated grouping, and is checkpointed;
+    smallest neighbour of each node, found by a pre-aggregated grouping, and is checkpointed twice;
     the edges stay distributed and only their count and checksum come back. Self-links and
     repeated edges do no harm; no edges give no rows.
     """
@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpoint(large.where("u <> v").distinct())
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).select(*pair).distinct())
         mark, last = _mark(new), mark

@@ -20,9 +20,9 @@ LENGTH, WIDTH = 20, 5
 #: A paragraph starts where a three-word hash is the least of WINDOW neighbours. Every passage of
 #: LENGTH + WINDOW words or more that occurs twice thus holds the same whole paragraph at each place.
 WINDOW = 29
-#: 12 bands of 2 rows: a pair of units of similarity exactly 0.8 is missed five times in a million. Units that are
+#: 16 bands of 3 rows: a pair of units of similarity exactly 0.8 is missed once in about 100,000. Units that are
 #: little alike share no five-word shingle as a rule, so short bands bring few candidates here.
-BANDS, ROWS = 12, 2
+BANDS, ROWS = 16, 3
 PERCENT = 80
 #: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
 #: whole chunk that starts at most WINDOW - 1 words late, and one that ends at most WINDOW - 1 early.
@@ -193,7 +193,7 @@ def _bitmap(values: DataFrame, name: str):
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
     parts = words.groupBy(F.expr(f"word div {PART}").alias("part")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
     out = np.zeros(BITS // 64, np.uint64)
-    for part in parts.mapInArrow(_parts, "part long, bits binary").toLocalIterator():
+    for part in parts.mapInArrow(_parts, "part long, bits binary").collect():  # BITS / 8 bytes in all
         out[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.bits, np.uint64)
     return values.sparkSession.sparkContext.broadcast(out)
 
@@ -247,27 +247,20 @@ def _keys(batch, begin, texts):
     return {"key": keys, "tag": np.concatenate((ids[chunks[0][chunk]], ids[text], np.repeat(node[on], BANDS)))}
 
 
-def _chunks(bitmap):
-    """(key, node) of the chunks, if the key may be shared."""
+def _held(bitmap):
+    """(key, node, sure) of the chunks (sure: an equal key links them) and of the distinct units' bands, if the key may be shared."""
 
     def run(batch, begin, texts):
-        _, _, node, rows = paragraphs(texts)
-        number, key = _chunk_keys(rows)
-        on = _in(bitmap, key)
-        return {"key": key[on], "node": node[number[on]]}
-
-    return _grouped(run)
-
-
-def _banded(bitmap):
-    """(key, node) for every band of the distinct units, if the key may be shared."""
-
-    def run(batch, begin, texts):
-        _, _, _, node, bounds, value = units(texts)
-        on, bands = _bands(node, bounds, value)
-        key, node = bands.ravel(), np.repeat(node[on], BANDS)
-        on = _in(bitmap, key)
-        return {"key": key[on], "node": node[on]}
+        chunks = paragraphs(texts)
+        number, key = _chunk_keys(chunks[3])
+        on = np.flatnonzero(_in(bitmap, key))
+        _, _, _, node, bounds, value = units(texts, chunks)
+        unit, bands = _bands(node, bounds, value)
+        too = np.flatnonzero(_in(bitmap, bands.ravel()))
+        return {
+            "key": np.concatenate((key[on], bands.ravel()[too])), "node": np.concatenate((chunks[2][number[on]], node[unit[too // BANDS]])),
+            "sure": np.arange(len(on) + len(too)) < len(on),
+        }
 
     return _grouped(run)
 
@@ -404,7 +397,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(key, node, center): the members of each bucket of two or more of the distinct ``rows`` (key, node), with one drawn by the key."""
+    """The members of each bucket of two or more of the distinct ``rows`` (key, node, ...) with center, one drawn by the key."""
     drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
     ends = rows.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low <> high")
     return checkpoint(rows.join(checkpoint(ends.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("center"))), "key"))
@@ -416,14 +409,15 @@ def _stars(members: DataFrame) -> DataFrame:
     return checkpoint(pairs.select(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v")).distinct())
 
 
-def _unit_links(texts: DataFrame, bitmap) -> DataFrame:
+def _unit_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     """(u, v): units that share a band and are similar, as many as it takes to join their components."""
-    members = _members(texts.mapInArrow(_banded(bitmap), "key long, node long").distinct())
     pairs = _stars(members)
     wanted = checkpoint(members.select("node").distinct())
     sets = texts.mapInArrow(_sets(_bitmap(wanted, "node")), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("s"))
     sets = checkpoint(sets.join(wanted, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    size = [F.length(c) for c in ("su", "sv")]
+    both = both.where(100 * F.least(*size) >= PERCENT * F.greatest(*size))  # else no overlap is enough
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
     roots = checkpoint(connected_components(links))
 
@@ -464,9 +458,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
     bitmap = shared_keys(named)
-    chunks = _stars(_members(texts.mapInArrow(_chunks(bitmap), "key long, node long").distinct()))
-    units_ = _unit_links(texts, bitmap)
-    roots = checkpoint(connected_components(chunks.union(units_)))
+    members = _members(texts.mapInArrow(_held(bitmap), "key long, node long, sure boolean").distinct())
+    units_ = _unit_links(texts, members.where("not sure").drop("sure"))
+    roots = checkpoint(connected_components(_stars(members.where("sure")).union(units_)))
     node_map = _bitmap(units_.select(F.explode(F.array("u", "v")).alias("node")), "node")
 
     schema = "doc_id long, first long, end long, node long, chunk boolean"

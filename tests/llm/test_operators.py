@@ -254,7 +254,8 @@ def test_op9_links_members_of_a_bucket_that_both_differ_from_its_centre(spark):
     root = _jaccard_components(texts, 5)
     docs = table(spark, [(i, t, "a") for i, t in texts.items()]).select("doc_id", "text")
     lines = docs.select(docs.text.cast("binary").alias("text"))
-    links = [(r.u, r.v) for r in substrings._unit_links(lines, substrings.shared_keys(docs.select("doc_id", docs.text.cast("binary").alias("text")))).collect()]
+    held = lines.mapInArrow(substrings._held(substrings.shared_keys(docs.select("doc_id", docs.text.cast("binary").alias("text")))), "key long, node long, sure boolean")
+    links = [(r.u, r.v) for r in substrings._unit_links(lines, substrings._members(held.where("not sure").drop("sure").distinct())).collect()]
     node = {i: int(substrings.units([t.encode()])[3][0]) for i, t in texts.items()}
     top = {n: n for n in node.values()}
     for u, v in links:
