@@ -41,12 +41,17 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("cnt"))
 
 
-def phrase_counts(df: DataFrame, text: str) -> DataFrame:
-    """(phrase, cnt) of the pairs (0, 1), (2, 3) ... of rank-1 words, with the delimiter between them."""
+def phrase_parts(df: DataFrame, text: str) -> DataFrame:
+    """(first, delimiter, second, cnt) of the pairs (0, 1), (2, 3) ... of rank-1 words."""
     rank1 = df.select(rank1_pieces(F.col(text)).alias("p")).where(F.size("p") >= 2)
     ends = F.sequence(F.lit(0), F.size("p") - 2, F.lit(2))
-    joined = F.transform(ends, lambda i: F.concat(F.get("p", i)["word"], F.get("p", i)["delimiter"], F.get("p", i + 1)["word"]))
-    return rank1.select(F.explode(joined).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("cnt"))
+    pairs = F.transform(ends, lambda i: F.struct(F.get("p", i)["word"].alias("first"), F.get("p", i)["delimiter"].alias("delimiter"), F.get("p", i + 1)["word"].alias("second")))
+    return rank1.select(F.explode(pairs).alias("e")).groupBy("e.first", "e.delimiter", "e.second").agg(F.count("*").alias("cnt"))
+
+
+def phrase_counts(df: DataFrame, text: str) -> DataFrame:
+    """(phrase, cnt): the parts with the delimiter between them."""
+    return phrase_parts(df, text).groupBy(F.concat("first", "delimiter", "second").alias("phrase")).agg(F.sum("cnt").alias("cnt"))
 
 
 def frequent_words(counts: DataFrame) -> DataFrame:
@@ -58,18 +63,31 @@ def frequent_phrases(counts: DataFrame) -> DataFrame:
     return counts.where((F.col("cnt") > 10) & (F.octet_length("phrase") >= 3))
 
 
-def global_dictionary(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(kind, term, cnt): frequent phrases, then words still frequent without those phrases' uses.
+def global_dictionary(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(kind, term, cnt): frequent phrases (0), then words still frequent (1) without those phrases' uses.
 
-    A phrase's count is taken off both of its words, found again at its first delimiter.
+    ``words`` is (word, cnt), ``parts`` as phrase_parts gives it; a phrase's count is taken off both of its words.
     """
-    top = frequent_phrases(phrases)
-    sides = top.select(F.explode(F.array(F.regexp_extract("phrase", "^(.*?[^/ #]|)[/ #](?=[^/ #]|$)", 1), F.regexp_extract("phrase", "[^/ #]*\\z", 0))).alias("word"), "cnt")
-    used = sides.groupBy("word").agg(F.sum("cnt").alias("used"))
+    phrases = parts.withColumn("phrase", F.concat("first", "delimiter", "second"))
+    top = frequent_phrases(phrases.groupBy("phrase").agg(F.sum("cnt").alias("cnt")))
+    used = phrases.join(top.select("phrase"), "phrase", "left_semi")
+    used = used.select(F.explode(F.array("first", "second")).alias("word"), "cnt").groupBy("word").agg(F.sum("cnt").alias("used"))
     left = words.join(used, "word", "left").select("word", (F.col("cnt") - F.coalesce("used", F.lit(0))).alias("cnt"))
     return top.select(F.lit(0).alias("kind"), F.col("phrase").alias("term"), "cnt").union(frequent_words(left).select(F.lit(1), "word", "cnt"))
 
 
+def term_members(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, known): whether the dictionary of ``global_dictionary`` has the word, by a join."""
+    known = dictionary.where("kind = 1").select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    return words.select("word").join(known, "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def phrase_members(phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(phrase, known): whether the dictionary of ``global_dictionary`` has the phrase, by a join."""
+    known = dictionary.where("kind = 0").select(F.col("term").alias("phrase"), F.lit(True).alias("known"))
+    return phrases.select("phrase").join(known, "phrase", "left").select("phrase", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def delimiter_histogram(df: DataFrame, text: str) -> DataFrame:
     """(delimiter, cnt) by the delimiter's number."""
     each = df.select(F.explode(split_words(F.col(text))).alias("t")).select("t.delimiter")

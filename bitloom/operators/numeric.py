@@ -4,19 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Values that prime the sketch, buckets, and the share that the range exceeds the quantiles by.
 PRIME, BUCKETS, SPREAD = 5000, 512, 1.5
 
 
+#: Relative rank error of the bounds below which a group's first rows are looked for.
+RANK_ERROR = 1e-6
+
+
+def _first_of_groups(df: DataFrame, order: list[str], groups: tuple[str, ...]) -> DataFrame:
+    """``df`` cut to rows that may be among the first PRIME of their group: no whole group is shuffled or sorted.
+
+    One pre-aggregated pass finds, per group, values of the first order column at halved ranks; rows above
+    the least of them that surely has PRIME rows below it are left out. Rows without that value come first.
+    """
+    first, halves = F.col(order[0]), [2.0**-k for k in range(40)]
+    found = df.groupBy(*(F.col(g).alias(f"_{g}") for g in groups)).agg(F.count(first).alias("_n"), F.percentile_approx(first, halves, int(1 / RANK_ERROR)).alias("_q"))
+    enough = F.floor(F.log2(F.col("_n") / (PRIME + 1 + 2 * RANK_ERROR * F.col("_n"))))
+    found = found.withColumn("_upto", F.get("_q", F.greatest(enough, F.lit(0)).cast("int"))).drop("_n", "_q")
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return df.join(found, on).where(first.isNull() | F.col("_upto").isNull() | (first <= F.col("_upto"))).select(*df.columns)
+
+
 def quantile_sketch(df: DataFrame, value: str, order: list[str], bin_size: float, *groups: str) -> DataFrame:
     """(groups..., n, p05, p95, mid, bb): ranks floor(.05 n) and floor(.95 n) of the first PRIME values.
 
     mid is the float32 middle; bb, the bins in a bucket, is the next power of two of 1.5 * range / bin
-    div 510. The priming values are found by a bounded top-n (per group: a window over groups).
+    div 510. The priming values are found by a bounded top-n (per group: a window over the rows below a bound,
+    if the first order column has numbers or times; else over whole groups).
     """
     if groups:
+        if isinstance(df.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            df = _first_of_groups(df, order, groups)
         first = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         primed = df.withColumn("_r", first).where(F.col("_r") <= PRIME)
     else:

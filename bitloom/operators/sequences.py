@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from bitloom.functions.tokens import prefix_delta
 from bitloom.plans.lineage import with_row_id
+from bitloom.sources.documents import kind
 
 
 def _in_blocks(df: DataFrame, order: str, rows_a_block: int):
@@ -34,12 +35,20 @@ def tree_groups(df: DataFrame, code: str) -> DataFrame:
 
 
 def json_members(df: DataFrame, column: str) -> DataFrame:
-    """(path, kind, cnt) of the members of JSON objects: how often each is there, with which type."""
-    keys = df.select(F.col(column).alias("j"), F.explode(F.json_object_keys(column)).alias("path"))
-    value = F.try_parse_json("j")
-    kind = F.schema_of_variant(F.try_variant_get(value, F.concat(F.lit("$."), F.col("path")), "variant"))
-    name = F.when(kind == "BIGINT", "int").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "double").otherwise(F.lower(kind))
-    return keys.groupBy("path", name.alias("kind")).agg(F.count("*").alias("cnt"))
+    """(path, kind, cnt) of the members of JSON objects: how often each is there, with which type.
+
+    A member's name is its path as it stands, dots included; what is no JSON object has no members.
+    """
+    values = df.select(F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    each = values.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("path"), kind(F.col("value")).alias("kind"))
+    return each.groupBy("path", "kind").agg(F.count("*").alias("cnt"))
+
+
+def json_lengths(df: DataFrame, column: str) -> DataFrame:
+    """(path, elements, cnt): how long the arrays among the members of JSON objects are, and how often."""
+    values = df.select(F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    each = values.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).where(F.schema_of_variant("value").startswith("ARRAY"))
+    return each.groupBy(F.col("key").alias("path"), F.size(F.col("value").cast("array<variant>")).alias("elements")).agg(F.count("*").alias("cnt"))
 
 
 def json_existence(df: DataFrame, column: str) -> DataFrame:
@@ -55,10 +64,14 @@ def series_residuals(df: DataFrame, series: str, bin_size: float) -> DataFrame:
     return each.groupBy(F.floor(F.col("x") / bin_size).cast("long").alias("bin")).agg(F.count("*").alias("cnt"))
 
 
-def autoregression(df: DataFrame, key: str, series: str, order: int = 5) -> DataFrame:
-    """(key, t, residual): elements less the mean of the ``order`` before; the first ones are their own."""
-    lagged = lambda i: F.aggregate(F.slice(series, i - order + 1, order), F.lit(0.0), lambda a, x: a + x) / order
-    out = F.transform(series, lambda x, i: F.when(i < order, x.cast("double")).otherwise(x - lagged(i)))
+def autoregression(df: DataFrame, key: str, series: str, mean: float, coefficients: list[float]) -> DataFrame:
+    """(key, t, residual): elements less their estimate, mean plus the weighted elements before (nearest first).
+
+    Elements with fewer before them than there are coefficients are estimated by the mean alone.
+    """
+    x = F.col(series).cast("array<double>")
+    before = lambda i: sum((F.get(x, i - k - 1) * c for k, c in enumerate(coefficients)), F.lit(float(mean)))
+    out = F.transform(x, lambda v, i: v - F.when(i >= len(coefficients), before(i)).otherwise(F.lit(float(mean))))
     return df.select(key, F.posexplode(out).alias("t", "residual"))
 
 

@@ -111,9 +111,9 @@ def _(spark, d):
 
 @query("column_order")
 def _(spark, d):
-    """Rows only: the greedy choice over the pair costs."""
-    got = [(r.target, r.predictor, r.bits) for r in categorical.pair_costs(_t(spark, d, "lineitem"), _PAIR).collect()]
-    return spark.createDataFrame(categorical.greedy_order(got, _PAIR), "column_name string, predictor string, bits double")
+    """Rows only: the greedy search is no single SQL statement; tests hold it against enumeration."""
+    order = categorical.structure(_t(spark, d, "lineitem").select(*_PAIR), dict(zip(_PAIR, (3, 2, 7))))
+    return spark.createDataFrame([(c, ",".join(p), round(bits, 4)) for c, p, bits in order], "column_name string, predictors string, bits double")
 
 
 @query("encoded_bits", f"SELECT round(sum(cnt * (16 - log2(w))), 4) AS bits FROM ({_weights_sql('lineitem', 'l_returnflag', [])})")
@@ -243,6 +243,38 @@ def _(spark, d):
     return tokens.phrase_counts(_t(spark, d, "documents"), "text")
 
 
+_DICTIONARY = f"""{_WORDS}, wc AS (SELECT word, count(*) AS cnt FROM w GROUP BY 1),
+pp AS (SELECT p FROM (SELECT regexp_extract_all(text, {_D}) AS p FROM documents) WHERE len(p) >= 2),
+fc AS (SELECT a, b, c, a || b || c AS phrase, count(*) AS n FROM (SELECT p[i][:-2] AS a, p[i][-1] AS b, p[i + 1][:-2] AS c
+       FROM (SELECT p, unnest(range(1, len(p), 2)) AS i FROM pp)) GROUP BY ALL),
+pc AS (SELECT phrase, sum(n) AS cnt FROM fc GROUP BY 1),
+top AS (SELECT * FROM pc WHERE cnt > 10 AND strlen(phrase) >= 3),
+used AS (SELECT word, sum(n) AS u FROM (SELECT a AS word, n FROM fc SEMI JOIN top USING (phrase) UNION ALL SELECT c, n FROM fc SEMI JOIN top USING (phrase)) GROUP BY 1),
+l AS (SELECT wc.word, cnt - coalesce(u, 0) AS cnt FROM wc LEFT JOIN used USING (word)),
+dict AS (SELECT 0 AS kind, phrase AS term, CAST(cnt AS BIGINT) AS cnt FROM top
+         UNION ALL SELECT 1, word, CAST(cnt AS BIGINT) FROM l WHERE (cnt > 3 AND strlen(word) > 3) OR cnt > 10)"""
+
+
+def _dictionary(spark, d):
+    docs = _t(spark, d, "documents")
+    return tokens.global_dictionary(tokens.word_counts(docs, "text"), tokens.phrase_parts(docs, "text"))
+
+
+@query("global_dictionary", f"WITH {_DICTIONARY} SELECT kind, term, cnt FROM dict")
+def _(spark, d):
+    return _dictionary(spark, d)
+
+
+@query("term_members", f"WITH {_DICTIONARY} SELECT word, word IN (SELECT term FROM dict WHERE kind = 1) AS known FROM wc")
+def _(spark, d):
+    return tokens.term_members(tokens.word_counts(_t(spark, d, "documents"), "text"), _dictionary(spark, d))
+
+
+@query("phrase_members", f"WITH {_DICTIONARY} SELECT phrase, phrase IN (SELECT term FROM dict WHERE kind = 0) AS known FROM pc")
+def _(spark, d):
+    return tokens.phrase_members(tokens.phrase_counts(_t(spark, d, "documents"), "text"), _dictionary(spark, d))
+
+
 @query("delimiter_histogram", f"WITH {_WORDS} SELECT CASE WHEN delimiter = '' THEN 6 ELSE instr('/ #-_.', delimiter) - 1 END AS delimiter, count(*) AS cnt FROM w GROUP BY 1")
 def _(spark, d):
     return tokens.delimiter_histogram(_t(spark, d, "documents"), "text")
@@ -266,6 +298,16 @@ def _(spark, d):
     return tokens.char_transitions(_t(spark, d, "part"), "p_name")
 
 
+_CHARS = _WORDS.replace("documents", "(SELECT p_partkey AS doc_id, p_name AS text FROM part)").join(["(WITH ", """,
+c AS (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w WHERE word <> ''), b AS (SELECT word[i] AS chr, lower(word[i - 1]) AS b, i FROM c)
+SELECT CASE WHEN i > 1 AND regexp_full_match(b, '[a-z]') THEN ascii(b) - 96 ELSE 0 END AS context, chr FROM b)"""])
+
+
+@query("char_weights", _weights_sql(_CHARS, "chr", ["context"]))
+def _(spark, d):
+    return categorical.weights(tokens.char_transitions(_t(spark, d, "part"), "p_name"), "chr", "context")
+
+
 _ROW = "CAST(row_number() OVER (ORDER BY {}) - 1 AS BIGINT) AS row_id"
 
 
@@ -301,6 +343,16 @@ def _(spark, d):
     return sequences.series_residuals(_t(spark, d, "embeddings"), "embedding", 0.00499)
 
 
+_AR = (0.01, [0.4, 0.2, 0.1, 0.05, 0.05])
+
+
+@query("ts_ar_residuals", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(len(embedding))) AS t FROM embeddings)
+SELECT vec_id, CAST(t AS INTEGER) AS t, round(x[t + 1] - CASE WHEN t >= 5 THEN {_AR[0]} + {' + '.join(f'x[t - {k}] * {c}' if k else f'x[t] * {c}' for k, c in enumerate(_AR[1]))} ELSE {_AR[0]} END, 6) AS residual FROM e""")
+def _(spark, d):
+    rows = sequences.autoregression(_t(spark, d, "embeddings"), "vec_id", "embedding", *_AR)
+    return rows.withColumn("residual", F.round("residual", 6))
+
+
 # Blocks.
 def _blocks(spark, d, table, *order):
     return blocks.encode(_t(spark, d, table), *order)

@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``, or, on a local master where that is unset, in a folder of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bitloom-"))
     return df.checkpoint()
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels of nesting that ``paths`` goes down to.
-DEPTH = 8
+from bitloom.plans.lineage import checkpoint
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +18,7 @@ def write(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
-def _kind(value: Column) -> Column:
+def kind(value: Column) -> Column:
     found = F.schema_of_variant(value)
     return (
         F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array").when(found == "BIGINT", "int")
@@ -30,17 +29,20 @@ def _kind(value: Column) -> Column:
 def paths(docs: DataFrame, column: str = "doc") -> DataFrame:
     """(path, kind, cnt) of all nodes of the documents, arrays' elements under one node named ``[]``.
 
-    Each level is one explode of the level before, so the plan grows with DEPTH and not with the data.
-    An array that has elements, all doubles, is a ``series`` and not gone into. Null documents give nothing.
+    Each level is one explode of the level before, checkpointed, until a level has no nodes: nodes of any
+    depth are counted. An array that has elements, all decimals or doubles, is a ``series`` and not gone
+    into. Null documents give nothing.
     """
     level = docs.where(F.col(column).isNotNull()).select(F.lit("").alias("path"), F.col(column).alias("node"))
-    out = None
-    for _ in range(DEPTH):
-        nodes = level.select("path", "node", _kind(F.col("node")).alias("kind"), F.schema_of_variant("node").isin("ARRAY<DOUBLE>").alias("series"))
-        nodes = nodes.withColumn("kind", F.when(F.col("series"), "series").otherwise(F.col("kind")))
-        out = nodes.select("path", "kind") if out is None else out.union(nodes.select("path", "kind"))
+    counts = None
+    while True:
+        series = F.schema_of_variant("node").rlike(r"^ARRAY<(DECIMAL\(\d+,\d+\)|DOUBLE)>$")
+        nodes = level.select("path", "node", F.when(series, "series").otherwise(kind(F.col("node"))).alias("kind"))
+        own = checkpoint(nodes.groupBy("path", "kind").agg(F.count("*").alias("cnt")))
+        counts = own if counts is None else counts.union(own)
+        if own.where("kind in ('object', 'array')").isEmpty():
+            return counts
         inner = nodes.where("kind in ('object', 'array')")
-        level = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("node").outer())).select(
+        level = checkpoint(inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("node").outer())).select(
             F.concat("path", F.when(F.col("kind") == "array", "[]").otherwise(F.concat(F.lit("."), F.col("key")))).alias("path"), F.col("value").alias("node")
-        )
-    return out.groupBy("path", "kind").agg(F.count("*").alias("cnt"))
+        ))

@@ -1,5 +1,10 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -26,7 +31,18 @@ def test_same_rows(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_entry_without_the_llm_folder(spark):
+def test_entry_without_the_llm_folder(tmp_path):
+    """A copy of the repository without the llm folders and the pipeline registers and imports the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git"))
+    code = "import sys, __spark_entry__ as e; assert 'bitloom.llm' not in sys.modules; assert not [q for q in e.queries() if q.startswith('op')]; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) == len(catalogue.QUERIES)
+
+
+def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
