@@ -21,13 +21,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; between stages the documents are a Parquet table in the shared folder."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages over the documents; between stages the documents are a Parquet table in the shared folder.
+
+    A stage's table goes once its successor's is written; the last one stays, as the result reads it.
+    """
+    docs, last = common.read(spark, sf_dir, "documents"), None
     for number, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{number}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                _remove(spark, last)
+            last = path
     return docs
