@@ -53,8 +53,9 @@ def encode(df: DataFrame, *order: str, rows_a_block: int = ROWS_A_BLOCK) -> Data
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     packed = [(x if (x := _as_long(F.col(c), k)) is not None else F.col(c)).alias(c) for c, k in kinds.items()]
-    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order)]
-    numbered = with_row_id(df.select(F.struct(*packed).alias("row"), *keys), *(f"k{i}" for i in range(len(order))))
+    # Numbers keep their columns' order, so that the packed row sorts like the caller's.
+    rows = df.select(F.struct(*packed).alias("row"))
+    numbered = with_row_id(rows, *(F.col("row").getField(c) for c in order))
     numbered = numbered.select(F.expr(f"row_id div {rows_a_block}").alias("block_id"), F.struct("row_id", "row").alias("e"))
     out = numbered.groupBy("block_id").agg(F.sort_array(F.collect_list("e")).alias("e"), F.min("e.row_id").alias("first_row"), F.count("*").alias("n_rows"))
     values = lambda c: F.col("e.row").getField(c)

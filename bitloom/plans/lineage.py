@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,16 +20,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
+def with_row_id(df: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
     """Consecutive row numbers from 0 in the given order, which should be total.
 
-    Rows are range-partitioned and numbered inside their partition; only the partitions' counts are
-    summed in one place. The partitions are checkpointed, since a range partitioning need not repeat.
+    Rows are range-partitioned and sorted once; a row's place in its partition plus the rows of all
+    partitions before is its number, so that only the partitions' counts meet in one place. The
+    partitions are checkpointed, since a range partitioning need not repeat.
     """
-    parts = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    parts = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    counts = parts.groupBy(part).agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     # As many rows as partitions: small by construction.
-    out = parts.withColumn("_inside", inside).join(F.broadcast(before), "_part")
-    return out.withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_part", "_inside", "_before")
+    out = parts.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
