@@ -96,3 +96,14 @@ def lookup(blocks: DataFrame, schema: T.StructType, ids: list[int], rows_a_block
     """The rows with the given numbers: only their blocks are read (a pushed-down filter), then decoded."""
     wanted = sorted({i // rows_a_block for i in ids})
     return decode(blocks.where(F.col("block_id").isin(wanted)), schema, row_id=True).where(F.col("row_id").isin(list(ids)))
+
+
+def rows(blocks: DataFrame, schema: T.StructType, ids: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """(row_id, columns...) of the row numbers in ``ids`` (row_id): only their blocks are decoded.
+
+    The ids may be many: they meet the blocks in a join on the block's number, and are never collected.
+    """
+    wanted = ids.select(F.col("row_id").cast("long")).distinct()
+    number = F.expr(f"row_id div {rows_a_block}").alias("block_id")
+    held = blocks.join(wanted.select(number).distinct(), "block_id", "left_semi")
+    return decode(held, schema, row_id=True).join(wanted, "row_id", "left_semi")

@@ -29,6 +29,24 @@ def prefix_deltas(df: DataFrame, text: str, order: str, rows_a_block: int = 1024
     return numbered.withColumn("before", F.lag(text).over(over)).select(order, prefix_delta(F.col(text), F.col("before")).alias("delta"))
 
 
+def prefix_encode(df: DataFrame, text: str, order: str, rows_a_block: int = 1024) -> DataFrame:
+    """(block_id, rows): per row of a block its order, how much it shares with the text before, and the rest."""
+    numbered, over = _in_blocks(df.select(order, text), order, rows_a_block)
+    delta = prefix_delta(F.col(text), F.lag(text).over(over)).cast("int")
+    rest = numbered.withColumn("delta", delta).withColumn("rest", F.expr(f"substr(`{text}`, delta + 1)"))
+    return rest.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("row_id", F.col(order).alias("key"), "delta", "rest"))).alias("rows"))
+
+
+def prefix_decode(blocks: DataFrame, text: str, order: str) -> DataFrame:
+    """(order, text) of the blocks of ``prefix_encode``: each text is the start of the one before and the rest; null stays null."""
+    one = lambda before, e: F.concat(F.left(F.coalesce(before, F.lit("")), e["delta"]), e["rest"])
+    start = F.array(F.lit(None).cast("string"))
+    whole = F.aggregate("rows", start, lambda done, e: F.concat(done, F.array(one(F.element_at(done, -1), e))))
+    out = blocks.select("rows", F.slice(whole, 2, F.size("rows")).alias("texts"))
+    rows = out.select(F.explode(F.arrays_zip(F.col("rows.key").alias("key"), F.col("texts").alias("text"))).alias("e"))
+    return rows.select(F.col("e.key").alias(order), F.col("e.text").alias(text))
+
+
 def tree_groups(df: DataFrame, code: str) -> DataFrame:
     """(grp, term, cnt): codes of a large domain in two levels of 8192."""
     return df.groupBy(F.shiftright(code, 13).cast("long").alias("grp"), F.col(code).bitwiseAND(8191).cast("long").alias("term")).agg(F.count("*").alias("cnt"))

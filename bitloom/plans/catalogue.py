@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import tokens
 from bitloom.operators import blocks, categorical, dictionary, numeric, sampling, sequences
+from bitloom.plans import registry
 from bitloom.sources import documents
 
 QUERIES: dict = {}
@@ -319,6 +320,11 @@ def _(spark, d):
     return sequences.prefix_deltas(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey")
 
 
+@query("prefix_roundtrip", "SELECT c_custkey, c_name FROM customer")
+def _(spark, d):
+    return sequences.prefix_decode(sequences.prefix_encode(_t(spark, d, "customer"), "c_name", "c_custkey"), "c_name", "c_custkey")
+
+
 @query("markov_transitions", f"""WITH r AS (SELECT event_type, {_ROW.format('event_id')} FROM events)
 SELECT prev, cur, count(*) AS cnt FROM (SELECT coalesce(lag(event_type) OVER (PARTITION BY row_id // 1024 ORDER BY row_id), '') AS prev, event_type AS cur FROM r) GROUP BY 1, 2""")
 def _(spark, d):
@@ -375,6 +381,26 @@ def _(spark, d):
     return blocks.lookup(_blocks(spark, d, "orders", "o_orderkey"), _t(spark, d, "orders").schema, [0, 7, 1023, 1024, 1400])
 
 
+@query("random_lookups", f"""WITH r AS (SELECT {_ROW.format('o_orderkey')}, * FROM orders),
+i AS (SELECT DISTINCT CAST('0x' || left(md5('0:' || draw), 8) AS BIGINT) % (SELECT count(*) FROM orders) AS row_id FROM (SELECT unnest(range(300000)) AS draw))
+SELECT r.* FROM r SEMI JOIN i USING (row_id)""")
+def _(spark, d):
+    """300,000 draws of row numbers, found through their blocks."""
+    orders = _t(spark, d, "orders")
+    packed = blocks.encode(orders, "o_orderkey")
+    total = F.broadcast(orders.agg(F.count("*").alias("total")))  # one row
+    drawn = F.conv(F.left(F.md5(F.concat(F.lit("0:"), F.col("id").cast("string"))), F.lit(8)), 16, 10).cast("long")
+    ids = spark.range(300_000).join(total).where("total > 0").select((drawn % F.col("total")).alias("row_id"))
+    return blocks.rows(packed, orders.schema, ids)
+
+
+@query("cond_bucketed", """SELECT CAST((l_quantity >= 10) AS BIGINT) + CAST((l_quantity >= 25) AS BIGINT) + CAST((l_quantity >= 40) AS BIGINT) AS l_quantity,
+l_returnflag, count(*) AS cnt FROM lineitem GROUP BY 1, 2""")
+def _(spark, d):
+    coded = _t(spark, d, "lineitem").withColumn("l_quantity", registry.bucket(F.col("l_quantity"), [10, 25, 40]))
+    return categorical.histogram(coded, "l_returnflag", "l_quantity")
+
+
 _KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
     "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax"],
@@ -460,3 +486,48 @@ def _(spark, d):
 @query("role_transitions", """SELECT prev, role AS cur, count(*) AS cnt FROM (SELECT coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev, role FROM conversations) GROUP BY ALL""")
 def _(spark, d):
     return sequences.group_transitions(_t(spark, d, "conversations"), "role", "conv_id", "turn")
+
+
+# Nested JSON: a document for each conversation, texts only at even turns.
+_TALKS = """n AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1),
+l AS (SELECT '.id' AS path, 'int' AS kind, CAST(conv_id AS DOUBLE) AS x FROM n WHERE conv_id IS NOT NULL
+      UNION ALL SELECT '.turns[].turn', 'int', turn FROM conversations WHERE turn IS NOT NULL
+      UNION ALL SELECT '.turns[].role', 'string', strlen(role) FROM conversations WHERE role IS NOT NULL
+      UNION ALL SELECT '.turns[].text', 'string', strlen(text) FROM conversations WHERE turn % 2 = 0 AND text IS NOT NULL),
+e AS (SELECT path, count(*) AS present, (SELECT count(*) FROM conversations) - count(*) AS absent FROM l WHERE path <> '.id' GROUP BY 1
+      UNION ALL SELECT '.id', count(conv_id), count(*) - count(conv_id) FROM n UNION ALL SELECT '.turns', count(*), 0 FROM n)"""
+
+
+def _talks(spark, d) -> DataFrame:
+    each = F.struct("turn", "role", F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"))
+    talks = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("turns"))
+    return documents.nodes(talks.select(F.parse_json(F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))).alias("doc")))
+
+
+@query("json_members_existence", f"WITH {_TALKS} SELECT path, present, absent FROM e")
+def _(spark, d):
+    return documents.existence(_talks(spark, d))
+
+
+@query("json_array_lengths", f"WITH {_TALKS} SELECT '.turns' AS path, k AS elements, count(*) AS cnt FROM n GROUP BY 2")
+def _(spark, d):
+    return documents.lengths(_talks(spark, d))
+
+
+@query("json_leaves", f"WITH {_TALKS} SELECT path, kind, count(*) AS cnt, min(x) AS least, max(x) AS most, sum(x) AS total FROM l GROUP BY 1, 2")
+def _(spark, d):
+    return documents.leaves(_talks(spark, d))
+
+
+@query("json_node_costs", f"""WITH {_TALKS}, h AS (SELECT path, 'existence' AS model, unnest([present, absent]) AS c FROM e
+UNION ALL SELECT path, 'kind', present FROM e UNION ALL SELECT '', 'kind', count(*) FROM n UNION ALL SELECT '.turns[]', 'kind', count(*) FROM conversations
+UNION ALL SELECT '.turns', 'length', count(*) FROM n GROUP BY k)
+SELECT path, model, round(sum(c) * log2(sum(c)) - sum(c * log2(c)) + 16 * (count(*) - 1) + 32, 4) AS bits FROM h WHERE c > 0 GROUP BY 1, 2""")
+def _(spark, d):
+    return documents.costs(_talks(spark, d))
+
+
+@query("json_schema", """SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS place, name, code
+FROM (VALUES ('id', 6), ('turns', 4), ('turns[]', 3), ('turns[]role', 5), ('turns[]text', 5), ('turns[]turn', 6)) v(name, code)""")
+def _(spark, d):
+    return documents.schema(_talks(spark, d)).select("place", F.concat_ws("", "parts").alias("name"), "code")

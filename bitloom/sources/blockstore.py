@@ -21,14 +21,8 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def rows(spark: SparkSession, path: str, schema: T.StructType, ids: DataFrame, rows_a_block: int = blocks.ROWS_A_BLOCK) -> DataFrame:
-    """(row_id, columns...) of the row numbers in ``ids`` (row_id): only their blocks are decoded.
-
-    The ids may be many: they meet the blocks in a join on the block's number, and are never collected.
-    """
-    wanted = ids.select(F.col("row_id").cast("long")).distinct()
-    number = F.expr(f"row_id div {rows_a_block}").alias("block_id")
-    held = spark.read.parquet(path).join(wanted.select(number).distinct(), "block_id", "left_semi")
-    return blocks.decode(held, schema, row_id=True).join(wanted, "row_id", "left_semi")
+    """(row_id, columns...) of the row numbers in ``ids`` (row_id), as ``blocks.rows`` finds them."""
+    return blocks.rows(spark.read.parquet(path), schema, ids, rows_a_block)
 
 
 def factor(spark: SparkSession, path: str, rendered: DataFrame) -> DataFrame:
