@@ -421,13 +421,16 @@ def _unit_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
     roots = checkpoint(connected_components(links))
 
-    # Buckets that still hold several components: everyone outside the largest against everyone.
+    # Buckets that still hold several components: everyone outside the largest against everyone. The star has
+    # compared all there is in a bucket of two, and of buckets with the same members one is enough.
     labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
     mixed = by_root.groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")
-    )
-    mixed = mixed.where("roots > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h"))
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots"),
+        F.bit_xor("x").alias("x"),
+    )
+    mixed = mixed.where("roots > 1 and all > 2").groupBy("x", "all", "main", "most").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h"))
     left = labelled.join(checkpoint(mixed), "key").join(sets, "node")
     links = checkpoint(links.union(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long")).distinct())
     return links
