@@ -245,15 +245,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     links = checkpoint(_confirmed(stars, texts, width, percent).union(_same_document(named, classes)).distinct())
     roots = checkpoint(connected_components(links))
 
-    # Buckets that still hold several components: everyone outside the largest against everyone.
+    # Buckets that still hold several components: everyone outside the largest against everyone. The star has
+    # compared all there is in a bucket of two, and of buckets with the same members one is enough.
     labelled = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("x"))
     mixed = by_root.groupBy("key").agg(
-        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count("*").alias("roots")
-    )
+        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count("*").alias("roots"),
+        F.sum("x").alias("x"),
+    )
+    mixed = mixed.where("roots > 1 and all > 2").groupBy("x", "all", "size", "m").agg(F.min("key").alias("key"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES))
     mixed = checkpoint(
-        mixed.where("roots > 1").select(
+        mixed.select(
             "key", F.col("m.root").alias("main"), "all", blocks(F.col("all"), F.col("size")).alias("g"),
             blocks(F.col("all") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("h"),
         )
