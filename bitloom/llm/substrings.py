@@ -386,23 +386,53 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of as many true cells of ``link`` as it takes to join all that they join."""
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    row_left, column_left = link.any(axis=1), link.any(axis=0)
+    while row_left.any():
+        new = np.flatnonzero(row_left)[:1]
+        while len(new):
+            row_left[new] = False
+            reach = link[new] & column_left
+            found = np.flatnonzero(reach.any(axis=0))
+            if not len(found):
+                break
+            rows.append(new[reach[:, found].argmax(axis=0)])
+            columns.append(found)
+            column_left[found] = False
+            reach = link[:, found] & row_left[:, None]
+            new = np.flatnonzero(reach.any(axis=1))
+            rows.append(new)
+            columns.append(found[reach[new].argmax(axis=1)])
+    return np.concatenate(rows), np.concatenate(columns)
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of outsiders and members of other components in one cell, one for each outsider and component."""
+    """Links of outsiders and members of other components, in each batch as many as it takes to join those components."""
     for batch in batches:
-        found = {}
+        us, vs, above = [], [], {}
+
+        def top(root: int) -> int:
+            while (up := above.get(root, root)) != root:
+                above[root] = above.get(up, up)
+                root = up
+            return root
+
         for out, all_ in zip(batch.column("outs"), batch.column("members")):
             o, m = out.values, all_.values
             sets = [[np.frombuffer(x.as_py(), np.uint64) for x in e.field("s")] for e in (o, m)]
             size = [np.array([len(x) for x in y]) for y in sets]
             common = _common(*sets)
-            other = o.field("root").to_numpy()[:, None] != m.field("root").to_numpy()[None, :]
-            link = other & (100 * common >= PERCENT * (size[0][:, None] + size[1][None, :] - common))
-            us, vs, roots = o.field("node").to_numpy(), m.field("node").to_numpy(), m.field("root").to_numpy()
-            for i, j in zip(*np.nonzero(link)):
-                found[us[i], roots[j]] = vs[j]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([u for u, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["u", "v"]
-        )
+            nodes, roots = [e.field("node").to_numpy() for e in (o, m)], [e.field("root").to_numpy() for e in (o, m)]
+            link = (roots[0][:, None] != roots[1]) & (100 * common >= PERCENT * (size[0][:, None] + size[1] - common))
+            for i, j in zip(*_forest(link)):
+                one, two = top(int(roots[0][i])), top(int(roots[1][j]))
+                if one != two:
+                    above[one] = two
+                    us.append(nodes[0][i])
+                    vs.append(nodes[1][j])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _members(rows: DataFrame) -> DataFrame:

@@ -121,3 +121,23 @@ def test_message_passing_is_exact_on_a_chain():
             total[i, k] += w
     want = total / total.sum(axis=1, keepdims=True)
     assert pii.np.abs(model.marginals(tokens, [0, 0, 0]) - want).max() < 0.02
+
+
+def test_forest_joins_what_the_links_join():
+    """As many links as nodes less components, all of them true cells, and the same components."""
+    rng = np.random.default_rng(0)
+
+    def components(pairs, rows, columns):
+        name = list(range(rows + columns))
+        for i, j in pairs:
+            old, new = name[rows + j], name[i]
+            name = [new if x == old else x for x in name]
+        return [name.index(x) for x in name]
+
+    for _ in range(200):
+        link = rng.random(rng.integers(1, 9, 2)) < rng.random() / 2
+        rows, columns = substrings._forest(link)
+        assert link[rows, columns].all()
+        want = components(zip(*np.nonzero(link)), *link.shape)
+        assert components(zip(rows, columns), *link.shape) == want
+        assert len(rows) == sum(link.shape) - len(set(want))
