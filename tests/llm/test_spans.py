@@ -5,9 +5,10 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
-from bitloom.llm import pii, secrets
+from bitloom.llm import pii, secrets, substrings
 
 SCHEMA = "doc_id long, text string, _text string, row string"
 
