@@ -7,26 +7,28 @@ from pyspark.sql import functions as F
 
 # Delimiters by number; 6 stands for none.
 DELIMITERS = "/ #-_."
+# Two rank-1 words, the odd last one, or the tail. It looks behind so that no search starts inside a word: linear in the text.
+_PIECE = "(?<![^/ #])[^/ #]*(?:[/ #]+(?:[^/ #]+[/ #]+)?|\\z)"
 
 
 def rank1_pieces(text: Column) -> Column:
     """Words that end at a run of / space #, each with the run's earlier delimiters inside it."""
-    pieces = F.regexp_extract_all(text, F.lit("[^/ #]*[/ #]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit("(?<![^/ #])[^/ #]*[/ #]+"), F.lit(0))
     return F.transform(pieces, lambda p: F.struct(F.substr(p, F.lit(1), F.length(p) - 1).alias("word"), F.right(p, F.lit(1)).alias("delimiter")))
 
 
 def tail_pieces(text: Column) -> Column:
     """Words after the last / space #: split at - _ . and between lower and upper case or letter and digit."""
-    tail = F.regexp_extract(text, "[^/ #]*\\z", 0)
+    tail = F.regexp_replace(text, "\\A(?s:.*[/ #])", "")
     cut = F.regexp_replace(F.regexp_replace(tail, "([a-z])([A-Z])", "$1\u0001$2"), "([A-Za-z])([0-9])", "$1\u0001$2")
-    pieces = F.regexp_extract_all(cut, F.lit("[^-_.\u0001]*(?:\u0001|[-_.]+)"), F.lit(0))
+    pieces = F.regexp_extract_all(cut, F.lit("(?<![^-_.\u0001])[^-_.\u0001]*(?:\u0001|[-_.]+)"), F.lit(0))
     words = F.transform(
         pieces,
         lambda p: F.struct(
             F.substr(p, F.lit(1), F.length(p) - 1).alias("word"), F.when(F.right(p, F.lit(1)) == "\u0001", "").otherwise(F.right(p, F.lit(1))).alias("delimiter")
         ),
     )
-    rest = F.regexp_extract(cut, "[^-_.\u0001]*\\z", 0)
+    rest = F.regexp_replace(cut, "\\A(?s:.*[-_.\u0001])", "")
     return F.concat(words, F.array(F.struct(rest.alias("word"), F.lit("").alias("delimiter"))))
 
 
@@ -35,23 +37,47 @@ def split_words(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<struct<word:string,delimiter:string>>")).otherwise(F.concat(rank1_pieces(text), tail_pieces(text)))
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, cnt) over all texts."""
-    words = df.select(F.explode(split_words(F.col(text))).alias("t")).select("t.word")
-    return words.groupBy("word").agg(F.count("*").alias("cnt"))
+def piece_counts(df: DataFrame, text: str) -> DataFrame:
+    """(piece, tail, cnt): the texts cut into the pairs (0, 1), (2, 3) ... of rank-1 words, an odd last one, and the tail.
+
+    A pair is both words with all delimiters but the last, so that it tells its words and is the phrase; a tail is
+    what follows the last delimiter, maybe empty. One pass gives the words and the phrases.
+    """
+    each = df.where(F.col(text) != "").select(F.explode(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))).alias("p"))
+    ends = F.col("p").endswith(" ") | F.col("p").endswith("/") | F.col("p").endswith("#")
+    piece = F.when(ends, F.substr("p", F.lit(1), F.length("p") - 1)).otherwise(F.col("p"))
+    return each.groupBy(piece.alias("piece"), (~ends).alias("tail")).agg(F.count("*").alias("cnt"))
+
+
+def _head(piece: Column) -> Column:
+    """A pair's first word with its delimiters; empty if the piece is no pair."""
+    return F.regexp_extract(piece, "^[^/ #]*[/ #]+(?=[^/ #])", 0)
+
 
+def phrases_of(pieces: DataFrame) -> DataFrame:
+    """(phrase, cnt) of the pieces that are pairs."""
+    return pieces.where(_head(F.col("piece")) != "").select(F.col("piece").alias("phrase"), "cnt")
 
-def phrase_parts(df: DataFrame, text: str) -> DataFrame:
-    """(first, delimiter, second, cnt) of the pairs (0, 1), (2, 3) ... of rank-1 words."""
-    rank1 = df.select(rank1_pieces(F.col(text)).alias("p")).where(F.size("p") >= 2)
-    ends = F.sequence(F.lit(0), F.size("p") - 2, F.lit(2))
-    pairs = F.transform(ends, lambda i: F.struct(F.get("p", i)["word"].alias("first"), F.get("p", i)["delimiter"].alias("delimiter"), F.get("p", i + 1)["word"].alias("second")))
-    return rank1.select(F.explode(pairs).alias("e")).groupBy("e.first", "e.delimiter", "e.second").agg(F.count("*").alias("cnt"))
+
+def words_of(pieces: DataFrame) -> DataFrame:
+    """(word, cnt, used): the pieces' words; used is how often they stand in frequent phrases."""
+    head = pieces.withColumn("head", _head(F.col("piece")))
+    both = F.array(F.substr("head", F.lit(1), F.length("head") - 1), F.substr("piece", F.length("head") + 1))
+    tail = F.transform(tail_pieces(F.col("piece")), lambda p: p["word"])
+    words = F.when(F.col("tail"), tail).when(F.col("head") != "", both).otherwise(F.array("piece"))
+    used = F.when((F.col("head") != "") & _frequent_phrase("piece"), F.col("cnt")).otherwise(0)
+    each = head.select(F.explode(words).alias("word"), "cnt", used.alias("used"))
+    return each.groupBy("word").agg(F.sum("cnt").alias("cnt"), F.sum("used").alias("used"))
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, cnt) over all texts."""
+    return words_of(piece_counts(df, text)).select("word", "cnt")
 
 
 def phrase_counts(df: DataFrame, text: str) -> DataFrame:
-    """(phrase, cnt): the parts with the delimiter between them."""
-    return phrase_parts(df, text).groupBy(F.concat("first", "delimiter", "second").alias("phrase")).agg(F.sum("cnt").alias("cnt"))
+    """(phrase, cnt) of the pairs (0, 1), (2, 3) ... of rank-1 words with the delimiter between them."""
+    return phrases_of(piece_counts(df, text))
 
 
 def frequent_words(counts: DataFrame) -> DataFrame:
@@ -59,21 +85,22 @@ def frequent_words(counts: DataFrame) -> DataFrame:
     return counts.where(((F.col("cnt") > 3) & (size > 3)) | (F.col("cnt") > 10))
 
 
+def _frequent_phrase(phrase: str) -> Column:
+    return (F.col("cnt") > 10) & (F.octet_length(phrase) >= 3)
+
+
 def frequent_phrases(counts: DataFrame) -> DataFrame:
-    return counts.where((F.col("cnt") > 10) & (F.octet_length("phrase") >= 3))
+    return counts.where(_frequent_phrase("phrase"))
 
 
-def global_dictionary(words: DataFrame, parts: DataFrame) -> DataFrame:
+def global_dictionary(words: DataFrame, phrases: DataFrame) -> DataFrame:
     """(kind, term, cnt): frequent phrases (0), then words still frequent (1) without those phrases' uses.
 
-    ``words`` is (word, cnt), ``parts`` as phrase_parts gives it; a phrase's count is taken off both of its words.
+    ``words`` is (word, cnt, used) as words_of gives it, ``phrases`` is (phrase, cnt).
     """
-    phrases = parts.withColumn("phrase", F.concat("first", "delimiter", "second"))
-    top = frequent_phrases(phrases.groupBy("phrase").agg(F.sum("cnt").alias("cnt")))
-    used = phrases.join(top.select("phrase"), "phrase", "left_semi")
-    used = used.select(F.explode(F.array("first", "second")).alias("word"), "cnt").groupBy("word").agg(F.sum("cnt").alias("used"))
-    left = words.join(used, "word", "left").select("word", (F.col("cnt") - F.coalesce("used", F.lit(0))).alias("cnt"))
-    return top.select(F.lit(0).alias("kind"), F.col("phrase").alias("term"), "cnt").union(frequent_words(left).select(F.lit(1), "word", "cnt"))
+    left = words.select("word", (F.col("cnt") - F.col("used")).alias("cnt"))
+    top = frequent_phrases(phrases).select(F.lit(0).alias("kind"), F.col("phrase").alias("term"), "cnt")
+    return top.union(frequent_words(left).select(F.lit(1), "word", "cnt"))
 
 
 def term_members(words: DataFrame, dictionary: DataFrame) -> DataFrame:

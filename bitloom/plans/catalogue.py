@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitloom.functions import tokens
 from bitloom.operators import blocks, categorical, dictionary, numeric, sampling, sequences
 from bitloom.plans import registry
+from bitloom.plans.lineage import checkpoint
 from bitloom.sources import documents
 
 QUERIES: dict = {}
@@ -256,24 +257,28 @@ dict AS (SELECT 0 AS kind, phrase AS term, CAST(cnt AS BIGINT) AS cnt FROM top
          UNION ALL SELECT 1, word, CAST(cnt AS BIGINT) FROM l WHERE (cnt > 3 AND strlen(word) > 3) OR cnt > 10)"""
 
 
-def _dictionary(spark, d):
-    docs = _t(spark, d, "documents")
-    return tokens.global_dictionary(tokens.word_counts(docs, "text"), tokens.phrase_parts(docs, "text"))
+def _pieces(spark, d):
+    return tokens.piece_counts(_t(spark, d, "documents"), "text")
 
 
 @query("global_dictionary", f"WITH {_DICTIONARY} SELECT kind, term, cnt FROM dict")
 def _(spark, d):
-    return _dictionary(spark, d)
+    pieces = _pieces(spark, d)
+    return tokens.global_dictionary(tokens.words_of(pieces), tokens.phrases_of(pieces))
 
 
 @query("term_members", f"WITH {_DICTIONARY} SELECT word, word IN (SELECT term FROM dict WHERE kind = 1) AS known FROM wc")
 def _(spark, d):
-    return tokens.term_members(tokens.word_counts(_t(spark, d, "documents"), "text"), _dictionary(spark, d))
+    pieces = _pieces(spark, d)
+    words = checkpoint(tokens.words_of(pieces))
+    return tokens.term_members(words, tokens.global_dictionary(words, tokens.phrases_of(pieces)))
 
 
 @query("phrase_members", f"WITH {_DICTIONARY} SELECT phrase, phrase IN (SELECT term FROM dict WHERE kind = 0) AS known FROM pc")
 def _(spark, d):
-    return tokens.phrase_members(tokens.phrase_counts(_t(spark, d, "documents"), "text"), _dictionary(spark, d))
+    pieces = _pieces(spark, d)
+    phrases = tokens.phrases_of(pieces)
+    return tokens.phrase_members(phrases, tokens.global_dictionary(tokens.words_of(pieces), phrases))
 
 
 @query("delimiter_histogram", f"WITH {_WORDS} SELECT CASE WHEN delimiter = '' THEN 6 ELSE instr('/ #-_.', delimiter) - 1 END AS delimiter, count(*) AS cnt FROM w GROUP BY 1")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from bitloom.functions import tokens
 from bitloom.operators import categorical, numeric
 from bitloom.operators.categorical import MOST_CELLS
+from bitloom.plans.lineage import checkpoint
 
 #: kind: function of (table, field, order columns, predictors) to a model's table.
 LEARNERS: dict[str, Callable] = {}
@@ -52,7 +53,8 @@ def _(df: DataFrame, field: T.StructField, order: list[str], *predictors: str) -
 
 @learner("STRING")
 def _(df: DataFrame, field: T.StructField, order: list[str], *predictors: str) -> DataFrame:
-    return tokens.global_dictionary(tokens.word_counts(df, field.name), tokens.phrase_parts(df, field.name))
+    pieces = checkpoint(tokens.piece_counts(df, field.name))
+    return tokens.global_dictionary(tokens.words_of(pieces), tokens.phrases_of(pieces))
 
 
 def candidates(schema: T.StructType, target: str, predictors: tuple[str, ...]) -> bool:
