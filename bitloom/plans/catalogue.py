@@ -277,7 +277,7 @@ def _(spark, d):
 @query("phrase_members", f"WITH {_DICTIONARY} SELECT phrase, phrase IN (SELECT term FROM dict WHERE kind = 0) AS known FROM pc")
 def _(spark, d):
     pieces = _pieces(spark, d)
-    phrases = tokens.phrases_of(pieces)
+    phrases = checkpoint(tokens.phrases_of(pieces))
     return tokens.phrase_members(phrases, tokens.global_dictionary(tokens.words_of(pieces), phrases))
 
 
