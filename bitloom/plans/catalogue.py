@@ -263,7 +263,7 @@ def _pieces(spark, d):
 
 @query("global_dictionary", f"WITH {_DICTIONARY} SELECT kind, term, cnt FROM dict")
 def _(spark, d):
-    pieces = _pieces(spark, d)
+    pieces = checkpoint(_pieces(spark, d))
     return tokens.global_dictionary(tokens.words_of(pieces), tokens.phrases_of(pieces))
 
 

@@ -10,7 +10,7 @@ from bitloom.functions import tokens
 from bitloom.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["term_members", "phrase_members"])
+@pytest.mark.parametrize("name", ["term_members", "phrase_members", "global_dictionary"])
 def test_texts_are_read_once(spark, monkeypatch, name):
     seen = spark.sparkContext.accumulator(0)
 
