@@ -12,8 +12,8 @@ import numpy as np
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Texts are hashed in pieces of about so many bytes, cut between words.
-PIECE = 1 << 20
+#: Texts are hashed in pieces of about so many bytes, cut between words; their arrays stay in a core's cache.
+PIECE = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

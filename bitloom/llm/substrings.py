@@ -24,7 +24,7 @@ WINDOW = 29
 #: 11 bands of 2 rows: a pair of units of similarity exactly 0.8 is missed once in about 75,000. Units that are
 #: little alike share no five-word shingle as a rule, so short bands bring few candidates here.
 BANDS, ROWS = 11, 2
-#: Sets of fewer shingles are 0.8 similar only if they are equal, and then share every band: one is enough.
+#: Sets of fewer shingles are 0.8 similar only to equal ones, which are the same node: they need no band.
 SMALL = 4
 PERCENT = 80
 #: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
@@ -37,20 +37,26 @@ SURE = 8
 
 
 #: Texts are put together for the kernel up to about so many bytes; a longer one goes alone, whole.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 #: Low bits of a hash that give way to a place, for leftmost minima.
 _PLACE = np.uint64((1 << 20) - 1)
 
 
-def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased texts with newlines between them, the words' first bytes, their hashes, each text's first word and at last the number of words)."""
+    data = b"\n".join(texts).lower()
+    starts, words = kernels.words_at(data)
+    return data, starts, words, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def paragraphs(texts: list[bytes], read: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of texts, first words, content hashes, shingle hashes as rows) of the texts' paragraphs.
 
     The texts' words are anchored wherever their order is the same, so that a passage gets the same
-    paragraphs in whatever document, line or place it stands. No paragraph spans two texts.
+    paragraphs in whatever document, line or place it stands. No paragraph spans two texts. ``read`` is
+    what _read gives, where the caller has it.
     """
-    starts, words = kernels.words_at(b"\n".join(texts).lower())
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    begin = np.searchsorted(starts, begin)  # each text's first word; at last, the number of words
+    _, _, words, begin = read or _read(texts)
     size = np.diff(begin)
     rows = np.empty((0, LENGTH - WIDTH + 1), np.uint64)
     if not (size >= LENGTH).any():
@@ -105,18 +111,16 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, now
 
 
-def units(texts: list[bytes], chunks: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(texts: list[bytes], chunks: tuple | None = None, read: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of texts, first words, ends, nodes, bounds, shingles): lines, whatever their length, and odd chunks.
 
     A line under WIDTH words is one shingle. Chunks (of ``paragraphs``) are odd if they hold a shingle twice;
     the others are linked by their keys. Shingles are distinct and ascending in each unit, from bounds[i] to
     bounds[i + 1].
     """
-    data = b"\n".join(texts).lower()
-    starts, words = kernels.words_at(data)
+    read = data, starts, words, begin = read or _read(texts)
     if not len(words):
         return (*(np.empty(0, np.int64) for _ in range(4)), np.zeros(1, np.int64), np.empty(0, np.uint64))
-    begin = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
     low = np.flatnonzero(np.diff(line, prepend=-1))
     high = np.append(low[1:], len(words))
@@ -131,7 +135,7 @@ def units(texts: list[bytes], chunks: tuple | None = None) -> tuple[np.ndarray,
     which.append(number[inside])
     value.append(five[inside])
     text = np.searchsorted(begin, low, side="right") - 1
-    chunk_text, chunk_at, content, rows = chunks or paragraphs(texts)
+    chunk_text, chunk_at, content, rows = chunks or paragraphs(texts, read)
     odd = np.flatnonzero((np.diff(np.sort(rows, axis=1), axis=1) == 0).any(axis=1))
     which.append(np.repeat(len(low) + np.arange(len(odd)), rows.shape[1]))
     value.append(rows[odd].ravel())
@@ -170,8 +174,8 @@ def _chunk_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _HASH = kernels.MinHash(BANDS * ROWS, seed=11)
 
-#: Bits of the maps of wanted values, and probes of a value: a fixed size, whatever the input. Such a map
-#: spares the shuffle rows that cannot match; as it fills up it lets more pass, and what follows decides.
+#: Bits of the maps of wanted values, and bits of a value, all in one word: a fixed size, whatever the input. Such
+#: a map spares the shuffle rows that cannot match; as it fills up it lets more pass, and what follows decides.
 BITS, PROBES = 1 << 25, 3
 
 
@@ -191,9 +195,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bitmap(values: DataFrame, name: str):
     """A broadcast map of a column of hashes; BITS / 8 bytes come to the driver, in parts."""
-    probes = [F.shiftrightunsigned(name, 19 * i).bitwiseAND(BITS - 1) for i in range(PROBES)]
-    at = values.select(F.explode(F.array(*probes)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({name}, {63 - 6 * (i + 1)}) & 63 as int))" for i in range(PROBES))
+    words = values.groupBy(F.col(name).bitwiseAND(BITS // 64 - 1).alias("word")).agg(F.expr(f"bit_or({bits})").alias("bits"))
     parts = words.groupBy(F.expr(f"word div {PART}").alias("part")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
     out = np.zeros(BITS // 64, np.uint64)
     for part in parts.mapInArrow(_parts, "part long, bits binary").collect():  # BITS / 8 bytes in all
@@ -203,11 +206,13 @@ def _bitmap(values: DataFrame, name: str):
 
 def _in(bitmap, values: np.ndarray) -> np.ndarray:
     """True where a value may be wanted; without a map everywhere."""
-    on = np.ones(len(values), bool)
-    for i in range(PROBES if bitmap is not None else 0):
-        at = (values.view(np.uint64) >> np.uint64(19 * i)) & np.uint64(BITS - 1)
-        on &= (bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return on
+    if bitmap is None:
+        return np.ones(len(values), bool)
+    values = values.view(np.uint64)
+    word, bits = bitmap.value[values & np.uint64(BITS // 64 - 1)], np.zeros(len(values), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << (values >> np.uint64(63 - 6 * (i + 1)) & np.uint64(63))
+    return word & bits == bits
 
 
 #: Nodes are keys of their own beside those of the chunks and the bands.
@@ -219,14 +224,14 @@ def _node_key(node: np.ndarray) -> np.ndarray:
 
 
 def _bands(node: np.ndarray, bounds: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units, band keys) of the distinct units, BANDS keys for each; of those under SMALL shingles one."""
+    """(units, band keys) of the distinct units of SMALL shingles or more, BANDS keys for each."""
     on = np.unique(node, return_index=True)[1]
+    on = on[np.diff(bounds)[on] >= SMALL]
     size = np.diff(bounds)[on]
     ends = np.cumsum(size)
     own = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(bounds[on], size)
     keys = kernels.band_keys(_HASH.each(value[own], np.append(0, ends)), BANDS, ROWS)
-    which, band = np.nonzero((size >= SMALL)[:, None] | (np.arange(BANDS) == 0))
-    return on[which], keys[which, band]
+    return np.repeat(on, BANDS), keys.ravel()
 
 
 def _grouped(run):
@@ -243,9 +248,10 @@ def _grouped(run):
 
 def _keys(batch, begin, texts):
     """(key, tag): chunk keys and units with the documents that hold them, band keys with the units that have them."""
-    chunks = paragraphs(texts)
+    read = _read(texts)
+    chunks = paragraphs(texts, read)
     chunk, key = _chunk_keys(chunks[3])
-    text, _, _, node, bounds, value = units(texts, chunks)
+    text, _, _, node, bounds, value = units(texts, chunks, read)
     ids = batch.column("doc_id").to_numpy()[begin : begin + len(texts)]
     on, bands = _bands(node, bounds, value)
     keys = np.concatenate((key, _node_key(node), bands))
@@ -256,10 +262,11 @@ def _held(bitmap):
     """(key, node, sure) of the chunks (sure: an equal key links them) and of the distinct units' bands, if the key may be shared."""
 
     def run(batch, begin, texts):
-        chunks = paragraphs(texts)
+        read = _read(texts)
+        chunks = paragraphs(texts, read)
         number, key = _chunk_keys(chunks[3])
         on = np.flatnonzero(_in(bitmap, key))
-        _, _, _, node, bounds, value = units(texts, chunks)
+        _, _, _, node, bounds, value = units(texts, chunks, read)
         unit, bands = _bands(node, bounds, value)
         too = np.flatnonzero(_in(bitmap, bands))
         return {
@@ -286,10 +293,11 @@ def _places(bitmap, node_map):
     """(doc_id, first, end, node, chunk) of the chunks and units that may be another document's too, or like one of it."""
 
     def run(batch, begin, texts):
-        chunks = number, at, node, rows = paragraphs(texts)
+        read = _read(texts)
+        chunks = number, at, node, rows = paragraphs(texts, read)
         chunk, key = _chunk_keys(rows)
         on = np.unique(chunk[_in(bitmap, key)])
-        text, first, end, name, bounds, value = units(texts, chunks)
+        text, first, end, name, bounds, value = units(texts, chunks, read)
         too = np.flatnonzero(_in(node_map, name) | _in(bitmap, _node_key(name)))
         ids = batch.column("doc_id").take(pa.array(begin + np.concatenate((number[on], text[too]))))
         return {
@@ -311,12 +319,11 @@ def _beside(bitmap, by_place: bool):
     """
 
     def run(batch, begin, texts):
-        number, at, node, _ = paragraphs(texts)
+        read = _, _, words, bounds = _read(texts)
+        number, at, node, _ = paragraphs(texts, read)
         ids = batch.column("doc_id").take(pa.array(begin + number))
         place = _place(ids.to_numpy(zero_copy_only=False).astype(np.int64), at)
         on = np.flatnonzero(_in(bitmap, place if by_place else node))
-        starts, words = kernels.words_at(b"\n".join(texts).lower())
-        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         words = (words >> np.uint64(32)).astype(np.uint32)
         before, after = [], []
         for text, i in zip(number[on], at[on]):
@@ -500,7 +507,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = named.select("text")
     bitmap = shared_keys(named)
-    members = _members(texts.mapInArrow(_held(bitmap), "key long, node long, sure boolean").distinct())
+    members = _members(checkpoint(texts.mapInArrow(_held(bitmap), "key long, node long, sure boolean").distinct()))
     units_ = _unit_links(texts, members.where("not sure").drop("sure"))
     roots = checkpoint(connected_components(_stars(members.where("sure")).union(units_)))
     node_map = _bitmap(units_.select(F.explode(F.array("u", "v")).alias("node")), "node")
@@ -513,7 +520,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = checkpoint(places.join(span, "root"))
     grown = _growth(named, found.where("chunk").select("doc_id", "first", "node", "root"))
     grown = grown.join(span, "root").select("doc_id", "component_id", (F.col("first") - F.col("left")).alias("first"), (F.col("first") + LENGTH + F.col("right")).alias("end"))
-    found = found.select("doc_id", "component_id", "first", "end").union(grown).distinct()
+    found = found.select("doc_id", "component_id", "first", "end").union(grown)
     over = Window.partitionBy("doc_id", "component_id").orderBy("first", "end")
     new = F.coalesce(F.col("first") > F.max("end").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     grouped = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))

@@ -292,3 +292,21 @@ def test_near_duplicates_of_a_doc_id_with_several_texts(spark):
     rows = [(5, " ".join(one), "a"), (7, " ".join(one), "a"), (7, " ".join(two), "a"), (9, near, "a"), (11, "other words", "a")]
     got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()}
     assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)}
+
+
+def test_op9_reads_the_texts_six_times(spark):
+    """Once for the keys, the held rows, the sets and the places, twice for the words beside chunks; small lines have no bands."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"line {i}\n{long}\none two three four five six" + (" seven" if i % 2 else ""), "a") for i in range(20)]
+    got = substrings.repeated_passages(table(spark, rows).select("doc_id", "text").mapInArrow(count, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(20))
+    assert seen.value == 6 * len(rows)
+    _, _, _, node, bounds, value = substrings.units([b"one two three four five six\n" + long.encode()])
+    assert set(substrings._bands(node, bounds, value)[0]) == {1}
