@@ -30,8 +30,8 @@ PERCENT = 80
 #: Words beside a chunk that it may grow by: a repeated passage of LENGTH + WINDOW words or more holds a
 #: whole chunk that starts at most WINDOW - 1 words late, and one that ends at most WINDOW - 1 early.
 BESIDE = WINDOW
-#: Rows of a cell in which members of a bucket are compared.
-BLOCK = 250
+#: Rows and shingles of each side of a cell in which units that share a rare shingle are compared.
+BLOCK, BLOCK_SHINGLES = 1000, 250_000
 #: Chunks that share their first or last 19 words are linked if these hold so many different shingles.
 SURE = 8
 
@@ -215,6 +215,70 @@ def _in(bitmap, values: np.ndarray) -> np.ndarray:
     return word & bits == bits
 
 
+#: Slots of the table of counts of shingles, a byte each: a fixed size, whatever the input.
+SLOTS = 1 << 22
+
+
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of a column of sets."""
+    size = pc.binary_length(sets).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    return np.frombuffer(b"".join(sets.to_pylist()), np.uint64), size
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot, n = np.unique(_flat(batch.column("s"))[0] & np.uint64(SLOTS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), pa.array(n)], names=["slot", "n"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = []
+        for slots in batch.column("slots"):
+            part = np.zeros(PART, np.uint8)
+            part[slots.values.field("slot").to_numpy() % PART] = np.log2(slots.values.field("n").to_numpy())
+            parts.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(parts, pa.binary())], names=["part", "levels"])
+
+
+def _counts(sets: DataFrame):
+    """A broadcast table of the binary logarithm of how many of the ``sets`` have a shingle of a slot; SLOTS bytes come to the driver, in parts.
+
+    Shingles may share a slot: a count may be too large, never too small.
+    """
+    slots = sets.select("s").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    parts = slots.groupBy(F.expr(f"slot div {PART}").alias("part")).agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    out = np.zeros(SLOTS, np.uint8)
+    for part in parts.mapInArrow(_levels, "part long, levels binary").collect():  # SLOTS bytes in all
+        out[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.levels, np.uint8)
+    return sets.sparkSession.sparkContext.broadcast(out)
+
+
+def _rare(counts):
+    """(node, size, s, keys): the shingles that other sets may have too, and those of them among the set's rarest.
+
+    Two sets of similarity PERCENT share one of the rarest size - ceil(PERCENT * size / 100) + 1 shingles of each,
+    if all sets have them in one order, here by the table's count and then by value. A shingle that the table
+    counts once is in no other set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, size = _flat(batch.column("s"))
+            which, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            level = counts.value[value & np.uint64(SLOTS - 1)]
+            order = np.lexsort((value, level, which))
+            rank = np.arange(len(value)) - np.repeat(first, size)
+            key = order[(rank < (size - (PERCENT * size + 99) // 100 + 1)[which]) & (level[order] > 0)]
+            lists = []
+            for at in (np.flatnonzero(level), key):
+                bounds = np.searchsorted(which[at], np.arange(len(size) + 1))
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[at].view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size), *lists], names=["node", "size", "s", "keys"])
+
+    return run
+
+
 #: Nodes are keys of their own beside those of the chunks and the bands.
 _NODE = np.uint64(0x52DCE729DA3E39CB)
 
@@ -427,12 +491,19 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return root
 
         for out, all_ in zip(batch.column("outs"), batch.column("members")):
-            o, m = out.values, all_.values
-            sets = [[np.frombuffer(x.as_py(), np.uint64) for x in e.field("s")] for e in (o, m)]
-            size = [np.array([len(x) for x in y]) for y in sets]
+            sides = [out.values, all_.values]
+            nodes, roots, size = ([e.field(c).to_numpy() for e in sides] for c in ("node", "root", "size"))
+            # No more can be common than what either shares with any set.
+            most = np.minimum.outer(*(e.field("s").value_lengths().to_numpy() for e in sides))
+            total = np.add.outer(*size)
+            link = (roots[0][:, None] != roots[1]) & (100 * most >= PERCENT * (total - most))
+            rows, columns = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+            if not len(rows):
+                continue
+            sets = [[x.values.to_numpy() for x in e.field("s").take(pa.array(on))] for e, on in zip(sides, (rows, columns))]
+            at = np.ix_(rows, columns)
             common = _common(*sets)
-            nodes, roots = [e.field("node").to_numpy() for e in (o, m)], [e.field("root").to_numpy() for e in (o, m)]
-            link = (roots[0][:, None] != roots[1]) & (100 * common >= PERCENT * (size[0][:, None] + size[1] - common))
+            link[at] &= 100 * common >= PERCENT * (total[at] - common)
             for i, j in zip(*_forest(link)):
                 one, two = top(int(roots[0][i])), top(int(roots[1][j]))
                 if one != two:
@@ -467,19 +538,26 @@ def _unit_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     links = checkpoint(both.select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long"))
     roots = checkpoint(connected_components(links))
 
-    # Buckets that still hold several components: everyone outside the largest against everyone. The star has
-    # compared all there is in a bucket of two, and of buckets with the same members one is enough.
-    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    # A star compares a bucket's members with its centre only: what else is similar shares a rare shingle. Of those
+    # that share one, everyone outside the largest component meets everyone.
+    rows = checkpoint(sets.mapInArrow(_rare(_counts(sets)), "node long, size long, s array<long>, keys array<long>"))
+    keyed = rows.select("node", "size", F.explode("keys").alias("key")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = keyed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"))
     mixed = by_root.groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots"),
+        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count("*").alias("roots"),
         F.bit_xor("x").alias("x"),
     )
-    mixed = mixed.where("roots > 1 and all > 2").groupBy("x", "all", "main", "most").agg(F.min("key").alias("key"))
-    mixed = mixed.select("key", "main", F.ceil(F.col("all") / BLOCK).alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("h"))
-    left = labelled.join(checkpoint(mixed), "key").join(sets, "node")
-    links = checkpoint(links.union(_cells(left, "node", "root", "s").mapInArrow(_cross, "u long, v long")).distinct())
-    return links
+    mixed = mixed.where("roots > 1").groupBy("x", "all", "size", "m").agg(F.min("key").alias("key"))  # one of those with the same members
+    blocks = lambda n, size: F.least(n, F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)))
+    mixed = checkpoint(
+        mixed.select(
+            "key", F.col("m.root").alias("main"), blocks(F.col("all"), F.col("size")).alias("g"),
+            blocks(F.col("all") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("h"),
+        )
+    )
+    left = keyed.select("node", "root", "key").join(mixed, "key").join(rows.select("node", "size", "s"), "node")
+    more = _cells(left, "node", "root", "size", "s").mapInArrow(_cross, "u long, v long")
+    return checkpoint(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more).distinct())
 
 
 def shared_keys(named: DataFrame):
@@ -493,9 +571,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Words are runs of non-spaces, A-Z lower-cased; end is exclusive. Lines, whatever their length, are
     units: those that share a MinHash band are candidates, confirmed if the Jaccard similarity of their
-    five-word shingles is 0.8 or more. In each bucket one member is compared with the others; buckets
-    whose members are then still in different components are compared fully, outsiders against members,
-    in blocks. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
+    five-word shingles is 0.8 or more. In each bucket one member is compared with the others; units that
+    are then still in different components are compared, in blocks, wherever they share one of the
+    shingles that are rarest in each, as any two of that similarity do. Chunks (LENGTH words from a content anchor) find passages inside longer lines: they are
     linked by their first or last 19 words, and those that hold a shingle twice as lines are. Components
     with units in two documents or more are reported. Chunks grow word by word as long as they are equal
     to their component's kept one; touching spans of a document and component are merged. A chunk that

@@ -3,12 +3,14 @@
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from bitloom.llm import decontaminate, kernels, language, lmscore, mixing, neardup, pii, quality, registry, secrets, substrings, toxicity
+from bitloom.llm import components, decontaminate, kernels, language, lmscore, mixing, neardup, pii, quality, registry, secrets, substrings, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -265,6 +267,65 @@ def test_op9_links_members_of_a_bucket_that_both_differ_from_its_centre(spark):
     assert same(lambda i: top[node[i]]) == same(lambda i: root[i])
 
 
+def test_op9_compares_no_lines_that_share_only_a_common_passage(spark, monkeypatch):
+    """60 lines hold one passage of 20 words and 20 own words each, two more are alike: bands are shared by most, rare shingles by the two."""
+    passage, sizes, cells = " ".join(f"c{k}" for k in range(20)), [], substrings._cells
+
+    def counted(*args):
+        out = cells(*args)
+        sizes.extend(len(r.outs) + len(r.members) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(substrings, "_cells", counted)
+    texts = [f"{' '.join(f'{i}-{k}' for k in range(20))} {passage}" for i in range(60)]
+    texts += [f"{' '.join(f'e-{k}' for k in range(40))} {end}" for end in ("one", "two")]
+    lines = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    held = lines.mapInArrow(substrings._held(None), "key long, node long, sure boolean")
+    links = {(r.u, r.v) for r in substrings._unit_links(lines, substrings._members(held.where("not sure").drop("sure").distinct())).collect()}
+    near = [int(substrings.units([t.encode()])[3][0]) for t in texts[60:]]
+    assert links == {(max(near), min(near))}
+    assert sum(sizes) == 0
+
+
+def test_op9_finds_every_similar_pair_by_its_rare_shingles(spark):
+    """Sets of 5 to 40 values out of frequent and rare ones, against all pairs; none is left without a shared key."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        own = rng.choice(400, rng.integers(5, 41), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sets.append(np.unique(own))
+        for _ in range(3):
+            change = rng.integers(0, 4)
+            sets.append(np.unique(np.concatenate((own[change:], rng.integers(0, 1 << 62, change).astype(np.uint64)))))
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, s binary").repartition(3)
+    got = {r.node: r for r in rows.mapInArrow(substrings._rare(substrings._counts(rows)), "node long, size long, s array<long>, keys array<long>").collect()}
+    assert [got[i].size for i in range(len(sets))] == [len(x) for x in sets]
+    similar = 0
+    for i, j in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        assert len({*got[i].s} & {*got[j].s}) == common
+        if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            similar += 1
+            assert {*got[i].keys} & {*got[j].keys}
+    assert similar > 60
+
+
+def test_components_of_chains_stars_and_random_edges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(9)] + [(200 + int(a), 200 + int(b)) for a, b in rng.integers(0, 60, (45, 2))]
+    top = {n: n for e in edges for n in e}
+    for u, v in edges:
+        a, b = sorted((top[u], top[v]))
+        top = {k: a if x == b else x for k, x in top.items()}
+    got = {(r.node, r.root) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(n, r) for n, r in top.items() if n != r}
+    seen, checkpoint = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: seen.append(1) or checkpoint(df))
+    stars = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "u long, v long")
+    assert len(components.connected_components(stars).collect()) == 8
+    assert len(seen) == 1  # stars need no round
+
+
 @pytest.mark.parametrize("length", [51, 60, 100])
 def test_op9_spans_cover_the_whole_repeated_passage(spark, length):
     """Exact passages inside longer lines: one span a copy covers all of it, and a changed end word at most."""
