@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bitloom.llm import kernels
-from bitloom.llm.common import checkpoint, text_bytes
+from bitloom.llm.common import checkpoint, shuffles_removed, text_bytes
 from bitloom.llm.components import connected_components
 from bitloom.llm.neardup import _cells, _common
 
@@ -199,7 +199,9 @@ def _bitmap(values: DataFrame, name: str):
     words = values.groupBy(F.col(name).bitwiseAND(BITS // 64 - 1).alias("word")).agg(F.expr(f"bit_or({bits})").alias("bits"))
     parts = words.groupBy(F.expr(f"word div {PART}").alias("part")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
     out = np.zeros(BITS // 64, np.uint64)
-    for part in parts.mapInArrow(_parts, "part long, bits binary").collect():  # BITS / 8 bytes in all
+    with shuffles_removed(values.sparkSession):
+        found = parts.mapInArrow(_parts, "part long, bits binary").collect()  # BITS / 8 bytes in all
+    for part in found:
         out[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.bits, np.uint64)
     return values.sparkSession.sparkContext.broadcast(out)
 
@@ -249,7 +251,9 @@ def _counts(sets: DataFrame):
     slots = sets.select("s").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
     parts = slots.groupBy(F.expr(f"slot div {PART}").alias("part")).agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
     out = np.zeros(SLOTS, np.uint8)
-    for part in parts.mapInArrow(_levels, "part long, levels binary").collect():  # SLOTS bytes in all
+    with shuffles_removed(sets.sparkSession):
+        found = parts.mapInArrow(_levels, "part long, levels binary").collect()  # SLOTS bytes in all
+    for part in found:
         out[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.levels, np.uint8)
     return sets.sparkSession.sparkContext.broadcast(out)
 

@@ -1,16 +1,19 @@
 """The numbered operators against brute force, on small tables with awkward rows."""
 
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bitloom.llm import components, decontaminate, kernels, language, lmscore, mixing, neardup, pii, quality, registry, secrets, substrings, toxicity
+from bitloom.llm import common, components, decontaminate, kernels, language, lmscore, mixing, neardup, pii, quality, registry, secrets, substrings, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -326,6 +329,21 @@ def test_components_of_chains_stars_and_random_edges(spark, monkeypatch):
     assert len(seen) == 1  # stars need no round
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    sc = spark.sparkContext
+    folder = Path(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, before = {*folder.rglob("shuffle_*")}, spark.conf.get(key)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    got = common.checkpoint(df)
+    end = time.time() + 20  # the files go a little later
+    while {*folder.rglob("shuffle_*")} - seen and time.time() < end:
+        time.sleep(0.1)
+    assert not {*folder.rglob("shuffle_*")} - seen
+    assert spark.conf.get(key) == before
+    assert got.collect() and got.count() == df.count() == 7
+
+
 @pytest.mark.parametrize("length", [51, 60, 100])
 def test_op9_spans_cover_the_whole_repeated_passage(spark, length):
     """Exact passages inside longer lines: one span a copy covers all of it, and a changed end word at most."""
